@@ -27,9 +27,12 @@ class Inputs:
         self.spark = spark
         self.sf_dir = sf_dir
         self.dense = dense
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     def bag(self) -> DataFrame:
         """All rating events with the period each belongs to."""

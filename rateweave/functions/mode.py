@@ -15,15 +15,17 @@ def _tie(lowest: Column, highest: Column) -> Column:
     return F.when(lowest <= EARLY_HOUR, lowest).otherwise(highest)
 
 
-def mode_of_array(values: Column) -> Column:
-    """Mode of a short array, such as the seven days of a week."""
+def mode_of_array(column: str) -> Column:
+    """Mode of a column of short arrays, such as the times of the seven days of a week."""
+    values = F.col(column)
     freq = F.transform(
         F.array_distinct(values),
         lambda v: F.struct(F.size(F.filter(values, lambda w: w == v)).alias("n"), v.alias("v")),
     )
-    top = F.array_max(F.transform(freq, lambda s: s["n"]))
-    best = F.transform(F.filter(freq, lambda s: s["n"] == top), lambda s: s["v"])
-    return _tie(F.array_min(best), F.array_max(best))
+    # The largest (n, v) and the largest (n, -v) hold the ends of the most frequent values.
+    highest = F.array_max(freq)["v"]
+    lowest = -F.array_max(F.transform(freq, lambda s: F.struct(s["n"], (-s["v"]).alias("v"))))["v"]
+    return _tie(lowest, highest)
 
 
 def mode_by(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:

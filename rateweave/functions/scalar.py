@@ -12,7 +12,8 @@ def linear_interp(x: Column, x1: float, x2: float, y1: float, y2: float) -> Colu
 
 
 def clip(x: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi)))
+    """``x`` held within [lo, hi]; null stays null."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi))))
 
 
 def non_empty(m: Column) -> Column:

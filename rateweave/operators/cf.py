@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from rateweave.functions.scalar import amplify, clip, reflect_rating
 from rateweave.operators.ratings import PAIR, entity_stats, global_mean
+from rateweave.session import materialize
 
 # Neighbour weights used where a correlation is not computed.
 NO_CO_RATERS = 0.65
@@ -84,10 +85,12 @@ def mark_heavy(table: DataFrame, opts: CFOptions) -> DataFrame:
     return table.join(heavy_users(table, opts), "user_id", "left")
 
 
-def candidates(known: DataFrame, marked: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:
+def candidates(
+    known: DataFrame, marked: DataFrame, opts: CFOptions = CFOptions(), keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Every item the requesting user rated, per request: ``user, item, neighbor, rating, copies``."""
     probe = known.select(
-        *PAIR,
+        *PAIR, *keep,
         F.explode(
             F.sequence(
                 F.lit(0),
@@ -103,7 +106,7 @@ def candidates(known: DataFrame, marked: DataFrame, opts: CFOptions = CFOptions(
     return out.filter(F.col("item_id") != F.col("neighbor_id")) if opts.exclude_target else out
 
 
-def _with_pair(cand: DataFrame) -> DataFrame:
+def with_pair(cand: DataFrame) -> DataFrame:
     return cand.withColumn("lo", F.least("item_id", "neighbor_id")).withColumn(
         "hi", F.greatest("item_id", "neighbor_id")
     )
@@ -125,36 +128,45 @@ def _light_co_ratings(marked: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def _heavy_co_ratings(marked: DataFrame, cand: DataFrame) -> DataFrame:
-    """(lo, hi, x, y) of heavy users for the candidate pairs, probing from the lighter item."""
+def _heavy_co_ratings(marked: DataFrame, known: DataFrame, opts: CFOptions) -> DataFrame:
+    """(lo, hi, x, y) of heavy users for the candidate pairs, probing from the lighter item.
+
+    Only requests for items that a heavy user rated are expanded, so without heavy users
+    nothing is.
+    """
     heavy = marked.filter(F.col("splits").isNotNull()).select("user_id", "item_id", "stars")
     raters = heavy.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n"))
+    asked = known.join(raters.toDF("item_id", "item_n"), "item_id")
     pairs = (
-        _with_pair(cand).select("lo", "hi")
-        .join(raters.toDF("lo", "lo_n"), "lo")
-        .join(raters.toDF("hi", "hi_n"), "hi")
-        .distinct()
-        .withColumn("lo_first", F.col("lo_n") <= F.col("hi_n"))
+        with_pair(
+            candidates(asked, marked, opts, keep=("item_n",))
+            .join(raters.toDF("neighbor_id", "neighbor_n"), "neighbor_id")
+        )
+        .withColumn("item_first", F.col("item_n") <= F.col("neighbor_n"))
         .select(
-            "lo", "hi", "lo_first",
-            F.when(F.col("lo_first"), F.col("lo")).otherwise(F.col("hi")).alias("near"),
-            F.when(F.col("lo_first"), F.col("hi")).otherwise(F.col("lo")).alias("far"),
+            "lo", "hi",
+            F.when(F.col("item_first"), F.col("item_id")).otherwise(F.col("neighbor_id")).alias("near"),
+            F.when(F.col("item_first"), F.col("neighbor_id")).otherwise(F.col("item_id")).alias("far"),
         )
+        # Both directions of a pair may be asked for; keep one.
+        .groupBy("lo", "hi").agg(F.min(F.struct("near", "far")).alias("p"))
+        .select("lo", "hi", "p.near", "p.far")
     )
     both = pairs.join(heavy.toDF("user_id", "near", "near_stars"), "near").join(
         heavy.toDF("user_id", "far", "far_stars"), ["user_id", "far"]
     )
+    straight = F.col("near") == F.col("lo")
     return both.select(
         "lo", "hi",
-        F.when(F.col("lo_first"), F.col("near_stars")).otherwise(F.col("far_stars")).alias("x"),
-        F.when(F.col("lo_first"), F.col("far_stars")).otherwise(F.col("near_stars")).alias("y"),
+        F.when(straight, F.col("near_stars")).otherwise(F.col("far_stars")).alias("x"),
+        F.when(straight, F.col("far_stars")).otherwise(F.col("near_stars")).alias("y"),
     )
 
 
-def pair_sums(marked: DataFrame, known: DataFrame, cand: DataFrame) -> DataFrame:
+def pair_sums(marked: DataFrame, known: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:
     """Six sums over the co-raters of each item pair ``lo <= hi`` that has any."""
     wanted = known.select("item_id").distinct()
-    rows = _light_co_ratings(marked, wanted).unionByName(_heavy_co_ratings(marked, cand))
+    rows = _light_co_ratings(marked, wanted).unionByName(_heavy_co_ratings(marked, known, opts))
     x, y = F.col("x"), F.col("y")
     return rows.groupBy("lo", "hi").agg(
         F.count(F.lit(1)).alias("n"),
@@ -213,7 +225,7 @@ def similarity_weight(case: Column) -> Column:
 def weigh(cand: DataFrame, sums: DataFrame, mean: Column) -> DataFrame:
     """Candidates with ``n``, ``rule`` and weight ``w``."""
     return (
-        _with_pair(cand).join(sums, ["lo", "hi"], "left")
+        with_pair(cand).join(sums, ["lo", "hi"], "left")
         .withColumn("rule", similarity_case(mean))
         .select(
             *PAIR, "neighbor_id", "neighbor_stars", "copies",
@@ -276,24 +288,35 @@ def blended_mean(mean: Column) -> Column:
     return F.coalesce(both, um, m, mean)
 
 
-def cf_predict(pairs: DataFrame, table: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:
-    """One row ``user, item, cf_case, cf, trusted`` per requested pair (which must be distinct)."""
-    mean = global_mean(table)
-    asked = classify_requests(pairs, table)
-    weights = neighbor_weights(asked, table, mean, opts)
-    return score_requests(asked, weights, table, mean, opts)
+def known_requests(asked: DataFrame) -> DataFrame:
+    return asked.filter(F.col("user_events").isNotNull() & F.col("item_events").isNotNull())
 
 
-def neighbor_weights(asked: DataFrame, table: DataFrame, mean: Column, opts: CFOptions) -> DataFrame:
-    known = asked.filter(F.col("user_events").isNotNull() & F.col("item_events").isNotNull())
+def neighbor_weights(asked: DataFrame, table: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:
+    """All candidates of the classified requests with their weights."""
+    known = known_requests(asked)
     marked = mark_heavy(table, opts)
-    cand = candidates(known, marked, opts)
-    return weigh(cand, pair_sums(marked, known, cand), mean)
+    return weigh(candidates(known, marked, opts), pair_sums(marked, known, opts), global_mean(table))
+
+
+def cf_predict(pairs: DataFrame, table: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:
+    """One row ``user, item, cf_case, cf, trusted`` per requested pair (which must be distinct).
+
+    ``table`` is a rating table, best a materialized one. The classified requests and the
+    candidate weights are written once too, since several branches of the plan read them.
+    """
+    asked = materialize(classify_requests(pairs, table), "requests")
+    weights = neighbor_weights(asked, table, opts).select(
+        *PAIR, "neighbor_id", "neighbor_stars", "copies", "w"
+    )
+    return score_requests(asked, materialize(weights, "weights"), table, opts)
 
 
 def score_requests(
-    asked: DataFrame, weights: DataFrame, table: DataFrame, mean: Column, opts: CFOptions
+    asked: DataFrame, weights: DataFrame, table: DataFrame, opts: CFOptions = CFOptions()
 ) -> DataFrame:
+    """Predictions from classified requests and weighted candidates."""
+    mean = global_mean(table)
     sums = amplified_sums(top_neighbors(weights, opts), table)
     trust = confidence(weights).select(*PAIR, "trusted")
     cold = cold_start_class()

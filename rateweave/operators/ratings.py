@@ -58,20 +58,29 @@ def global_mean(table: DataFrame) -> Column:
     return table.agg(F.avg("stars")).scalar()
 
 
-def group_to_list(table: DataFrame, key: str, member: str) -> DataFrame:
-    """Sorted members per key with their mean. For inspection; no other operator builds on lists."""
-    return table.groupBy(key).agg(F.sort_array(F.collect_list(member)).alias("members"))
+def group_to_list(table: DataFrame, key: str, member: str, chunk: int = 10_000) -> DataFrame:
+    """``key, chunk_no, members, copies``: the sorted members of each key and their number of events.
+
+    A key with more than about ``chunk`` members gets several rows, so that no list grows
+    with its group. For output; no other operator builds on lists.
+    """
+    large = (
+        table.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk)
+        .select(key, F.ceil(F.col("_n") / chunk).cast("int").alias("_chunks"))
+    )
+    placed = table.join(large, key, "left").withColumn(
+        "chunk_no", F.pmod(F.hash(member), F.coalesce("_chunks", F.lit(1)))
+    )
+    entries = F.sort_array(F.collect_list(F.struct(member, "copies")))
+    return placed.groupBy(key, "chunk_no").agg(entries.alias("_e")).select(
+        key, "chunk_no", F.col(f"_e.{member}").alias("members"), F.col("_e.copies").alias("copies")
+    )
 
 
 def activity_counts(events: DataFrame, key: str) -> DataFrame:
     return events.groupBy(key).agg(F.count(F.lit(1)).alias("n_events"))
 
 
-def date_variance(events: DataFrame, key: str, code: Column) -> DataFrame:
-    """Sample variance of date codes per key; one date alone has variance 0."""
-    return events.groupBy(key).agg(F.coalesce(F.var_samp(code), F.lit(0.0)).alias("date_var"))
-
-
 def fold_requests(requests: DataFrame) -> DataFrame:
     """One row per requested pair with its number of copies."""
     return requests.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("copies"))
