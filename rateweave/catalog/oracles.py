@@ -103,7 +103,7 @@ _PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "best_abs": (_top("abs(w) DESC"), ("weights",)),
     "best_signed": (_top("(w > 0) DESC, CASE WHEN w > 0 THEN -w ELSE w END"), ("weights",)),
     "trust": ("""
-        SELECT user_id, item_id, count(*) AS n_candidates,
+        SELECT user_id, item_id,
                count(CASE WHEN w NOT IN (0.65::DOUBLE, 0.75::DOUBLE, 0.8::DOUBLE, 0.35::DOUBLE, 0.7::DOUBLE, 0.95::DOUBLE)
                           THEN 1 END) AS n_computed
         FROM weights GROUP BY user_id, item_id""", ("weights",)),
@@ -434,7 +434,7 @@ def oracle_sql() -> dict[str, str]:
         "topk_neighbors_signed": _topk_sql("best_signed"),
         "topk_neighbors_abs": _topk_sql("best_abs"),
         "cf_confidence": q(
-            "SELECT user_id, item_id, n_candidates, n_computed, n_computed >= 2 AS trusted FROM trust", "trust"),
+            "SELECT user_id, item_id, n_computed, n_computed >= 2 AS trusted FROM trust", "trust"),
         "cf_predict": q(_CF, "cf"),
         "cf_predict_dense": q(_CF, "cf", dense=True),
         "blend_means": q(f"SELECT user_id, item_id, round(prediction, 6) AS prediction FROM ({_BLENDED})", "classed", "mu"),

@@ -48,7 +48,7 @@ def _pairs(i: Inputs) -> DataFrame:
     return ratings.fold_requests(i.requests()).select(*PAIR)
 
 
-def _sources(i: Inputs) -> features.Sources:
+def sources(i: Inputs) -> features.Sources:
     return features.Sources(i.users(), i.items(), i.reviews(), i.checkins(), i.lookup())
 
 
@@ -225,14 +225,14 @@ def cold_start_class(spark: SparkSession, sf: str) -> DataFrame:
 
 def feat_user_join(spark: SparkSession, sf: str) -> DataFrame:
     i = Inputs(spark, sf)
-    return _pairs(i).join(features.user_features(_sources(i)), "user_id", "left").select(
+    return _pairs(i).join(features.user_features(sources(i)), "user_id", "left").select(
         *PAIR, _r("average_stars"), "user_review_count", "user_events", _r("date_var", 2)
     )
 
 
 def feat_item_join(spark: SparkSession, sf: str) -> DataFrame:
     i = Inputs(spark, sf)
-    return _pairs(i).join(features.item_features(_sources(i)), "item_id", "left").select(
+    return _pairs(i).join(features.item_features(sources(i)), "item_id", "left").select(
         *PAIR, "item_stars", "item_review_count", "item_events",
         F.col("checkin_slots").cast("bigint").alias("checkin_slots"),
         F.col("days_open").cast("bigint").alias("days_open"),
@@ -246,18 +246,20 @@ def _known(i: Inputs, table: DataFrame) -> DataFrame:
 def cf_candidates(spark: SparkSession, sf: str) -> DataFrame:
     i = Inputs(spark, sf)
     table = _stored_table(i)
-    return cf.candidates(_known(i, table), cf.mark_heavy(table, cf.CFOptions())).select(
+    return cf.candidates(_known(i, table), cf.mark_heavy(table, cf.heavy_users(table))).select(
         *PAIR, "neighbor_id", "neighbor_stars", "copies"
     )
 
 
-def _weights(i: Inputs) -> DataFrame:
+def _weights(i: Inputs, every: bool = False) -> DataFrame:
     table = _stored_table(i)
-    return cf.neighbor_weights(materialize(cf.classify_requests(_pairs(i), table), "asked"), table)
+    asked = materialize(cf.classify_requests(_pairs(i), table), "asked")
+    return cf.all_weights(asked, table) if every else cf.neighbor_weights(asked, table)
 
 
 def co_rating_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return _weights(Inputs(spark, sf)).select("item_id", "neighbor_id", F.col("n").alias("co_raters")).distinct()
+    weights = _weights(Inputs(spark, sf), every=True)
+    return weights.select("item_id", "neighbor_id", F.col("n").alias("co_raters")).distinct()
 
 
 def friend_item_mean(spark: SparkSession, sf: str) -> DataFrame:
@@ -343,9 +345,9 @@ def pcc_pairs(spark: SparkSession, sf: str) -> DataFrame:
     i = Inputs(spark, sf)
     table = _stored_table(i)
     known = materialize(_known(i, table), "asked")
-    marked = cf.mark_heavy(table, cf.CFOptions())
+    marked = cf.mark_heavy(table, cf.heavy_users(table))
     asked = cf.candidates(known, marked).select("item_id", "neighbor_id").distinct()
-    sums = cf.pair_sums(marked, known)
+    sums = cf.pair_sums(marked, known, known)
     return (
         cf.with_pair(asked).join(sums, ["lo", "hi"])
         .select("item_id", "neighbor_id", F.col("n").alias("co_raters"), F.round(cf.pearson(), 6).alias("pearson"))
@@ -354,7 +356,7 @@ def pcc_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def similarity_ladder(spark: SparkSession, sf: str) -> DataFrame:
-    return _weights(Inputs(spark, sf)).select(
+    return _weights(Inputs(spark, sf), every=True).select(
         "item_id", "neighbor_id", F.col("n").alias("co_raters"), "rule", _r("w")
     ).distinct()
 
@@ -385,7 +387,7 @@ def blend_means(spark: SparkSession, sf: str) -> DataFrame:
 
 def impute_mean(spark: SparkSession, sf: str) -> DataFrame:
     i = Inputs(spark, sf)
-    t = features.feature_tables(_sources(i))
+    t = features.feature_tables(sources(i))
     stand_ins = features.constants(t)
     names = ("useful", "cool", "user_avg_stars", "item_avg_stars", "friend_count")
     joined = _pairs(i).join(t.users, "user_id", "left").join(t.items, "item_id", "left")
@@ -398,7 +400,7 @@ def impute_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 def impute_opening(spark: SparkSession, sf: str) -> DataFrame:
     i = Inputs(spark, sf)
-    t = features.feature_tables(_sources(i))
+    t = features.feature_tables(sources(i))
     rule = features.RULES["opening_time"]
     value = impute(F.col(rule.source), features.constants(t)[rule.default], rule.zero_is_missing)
     asked = _pairs(i).select("item_id").distinct()
@@ -429,13 +431,13 @@ def union_ratings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _frame(i: Inputs) -> DataFrame:
-    s = _sources(i)
+    s = sources(i)
     pairs = materialize(_pairs(i), "asked")
     return features.feature_frame(pairs, s, features.feature_tables(s), materialize(_reviewed(i), "reviews"))
 
 
 def _training(i: Inputs) -> DataFrame:
-    s = _sources(i)
+    s = sources(i)
     reviewed = materialize(_reviewed(i), "reviews")
     return features.training_frame(i.val(), s, features.feature_tables(s), reviewed)
 
@@ -452,14 +454,14 @@ def training_frame(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_training(Inputs(spark, sf)), *PAIR, "label")
 
 
-def _fit_quick(i: Inputs) -> tuple:
+def fit_quick(i: Inputs) -> tuple:
     frame = materialize(_training(i), "training")
     return models.fit(frame, QUICK_A), models.fit(frame, QUICK_B)
 
 
 def gbt_predict(spark: SparkSession, sf: str) -> DataFrame:
     i = Inputs(spark, sf)
-    return models.ensemble_score(_fit_quick(i), _frame(i))
+    return models.ensemble_score(fit_quick(i), _frame(i))
 
 
 def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -508,7 +510,7 @@ def hybrid_predict(spark: SparkSession, sf: str) -> DataFrame:
     """The whole job: fit both models, then predict every requested row."""
     i = Inputs(spark, sf)
     return pipeline.predict(
-        i.requests(), [i.train(), i.val()], ORDER, _sources(i), _fit_quick(i)
+        i.requests(), [i.train(), i.val()], ORDER, sources(i), fit_quick(i)
     )
 
 

@@ -8,9 +8,11 @@ Where the work could pile up, the data is split by how heavy a user is:
   ``heavy_user_items`` pairs per rating.
 * Co-ratings of a heavy user are looked up for the item pairs that requests need, from
   the item with fewer heavy raters. A heavy user's items are never paired with each other.
-* A heavy user's items are dealt out over several join keys when requests are expanded.
+* A request of a heavy user reads the items that share a rater with the requested one and
+  as many others as can become neighbours, not all that the user rated. Where a heavy user
+  rated the requested item too, all are read, dealt out over several join keys.
 
-The sums of both kinds add up to the exact result.
+All of this is exact; ``CFOptions`` moves the limits, not the result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rateweave.functions.scalar import amplify, clip, reflect_rating
-from rateweave.operators.ratings import PAIR, entity_stats, global_mean
+from rateweave.operators.ratings import PAIR, entity_stats, global_mean, number_rows
 from rateweave.session import materialize
 
 # Neighbour weights used where a correlation is not computed.
@@ -46,6 +48,7 @@ class CFOptions:
     exclude_target: bool = False
     heavy_user_items: int = 2_000
     items_per_split: int = 100_000
+    bucket_items: int = 1_000
 
 
 def classify_requests(pairs: DataFrame, table: DataFrame) -> DataFrame:
@@ -71,7 +74,7 @@ def cold_start_class() -> Column:
     )
 
 
-def heavy_users(table: DataFrame, opts: CFOptions) -> DataFrame:
+def heavy_users(table: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:
     """Users with more items than ``heavy_user_items`` and the splits their items are dealt into."""
     return (
         table.groupBy("user_id").agg(F.count(F.lit(1)).alias("_items"))
@@ -80,24 +83,17 @@ def heavy_users(table: DataFrame, opts: CFOptions) -> DataFrame:
     )
 
 
-def mark_heavy(table: DataFrame, opts: CFOptions) -> DataFrame:
+def mark_heavy(table: DataFrame, heavy: DataFrame) -> DataFrame:
     """The rating table with ``splits``: null for a light user's rows."""
-    return table.join(heavy_users(table, opts), "user_id", "left")
+    return table.join(heavy, "user_id", "left")
 
 
 def candidates(
     known: DataFrame, marked: DataFrame, opts: CFOptions = CFOptions(), keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """Every item the requesting user rated, per request: ``user, item, neighbor, rating, copies``."""
-    probe = known.select(
-        *PAIR, *keep,
-        F.explode(
-            F.sequence(
-                F.lit(0),
-                F.greatest(F.ceil(F.col("user_items") / opts.items_per_split).cast("int"), F.lit(1)) - 1,
-            )
-        ).alias("_split"),
-    )
+    splits = F.greatest(F.ceil(F.col("user_items") / opts.items_per_split).cast("int"), F.lit(1))
+    probe = known.select(*PAIR, *keep, F.explode(F.sequence(F.lit(0), splits - 1)).alias("_split"))
     rated = marked.select(
         "user_id", F.col("item_id").alias("neighbor_id"), F.col("stars").alias("neighbor_stars"), "copies",
         F.pmod(F.hash("item_id"), F.coalesce("splits", F.lit(1))).alias("_split"),
@@ -163,10 +159,7 @@ def _heavy_co_ratings(marked: DataFrame, known: DataFrame, opts: CFOptions) -> D
     )
 
 
-def pair_sums(marked: DataFrame, known: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:
-    """Six sums over the co-raters of each item pair ``lo <= hi`` that has any."""
-    wanted = known.select("item_id").distinct()
-    rows = _light_co_ratings(marked, wanted).unionByName(_heavy_co_ratings(marked, known, opts))
+def _sum_co_ratings(rows: DataFrame) -> DataFrame:
     x, y = F.col("x"), F.col("y")
     return rows.groupBy("lo", "hi").agg(
         F.count(F.lit(1)).alias("n"),
@@ -175,6 +168,20 @@ def pair_sums(marked: DataFrame, known: DataFrame, opts: CFOptions = CFOptions()
     )
 
 
+def pair_sums(
+    marked: DataFrame, known: DataFrame, expanded: DataFrame | None, opts: CFOptions = CFOptions()
+) -> DataFrame:
+    """Six sums over the co-raters of each item pair ``lo <= hi`` that has any.
+
+    Pairs are those with an item of ``known``. Co-ratings of heavy users are added for the
+    candidates of ``expanded``; without it there must be no heavy users.
+    """
+    rows = _light_co_ratings(marked, known.select("item_id").distinct())
+    if expanded is not None:
+        rows = rows.unionByName(_heavy_co_ratings(marked, expanded, opts))
+    return _sum_co_ratings(rows)
+
+
 def _spread() -> tuple[Column, Column, Column]:
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
     return (
@@ -224,14 +231,76 @@ def similarity_weight(case: Column) -> Column:
 
 def weigh(cand: DataFrame, sums: DataFrame, mean: Column) -> DataFrame:
     """Candidates with ``n``, ``rule`` and weight ``w``."""
-    return (
-        with_pair(cand).join(sums, ["lo", "hi"], "left")
-        .withColumn("rule", similarity_case(mean))
+    return _rule_and_weight(with_pair(cand).join(sums, ["lo", "hi"], "left"), mean)
+
+
+def _rule_and_weight(joined: DataFrame, mean: Column) -> DataFrame:
+    return joined.withColumn("rule", similarity_case(mean)).select(
+        *PAIR, "neighbor_id", "neighbor_stars", "copies",
+        F.coalesce("n", F.lit(0)).alias("n"), "rule", similarity_weight(F.col("rule")).alias("w"),
+    )
+
+
+def _sparse_weights(
+    known: DataFrame, marked: DataFrame, sums: DataFrame, mean: Column, opts: CFOptions
+) -> DataFrame:
+    """Weights for requests of heavy users for items that no heavy user rated.
+
+    Few of such a user's many items share a rater with the requested one, and all others
+    have the same weight. The former are met from the pair sums. Of the latter only those
+    with the smallest ids can be among the neighbours: the user's items are cut into
+    buckets in id order, and buckets are read up to the first that alone holds enough items
+    without co-raters. Buckets before that are nearly full of co-rated items, so what is
+    read stays in proportion to them.
+    """
+    size = opts.bucket_items
+    rows = number_rows(
+        marked.filter(F.col("splits").isNotNull()).select(*PAIR, "stars", "copies"), PAIR
+    )
+    first = rows.groupBy("user_id").agg(F.min("row_no").alias("_first"))
+    owned = rows.join(first, "user_id").select(
+        "user_id", F.col("item_id").alias("neighbor_id"), F.col("stars").alias("neighbor_stars"), "copies",
+        F.floor((F.col("row_no") - F.col("_first")) / size).alias("bucket"),
+    )
+    asked = known.select(*PAIR, F.floor((F.col("user_items") - 1) / size).alias("last_bucket"), "user_items")
+    wanted = asked.select("item_id").distinct()
+    moments = ("n", "sxy")
+    directed = (
+        sums.filter(F.col("lo") != F.col("hi"))
+        .withColumn("ends", F.array(
+            F.struct(F.col("lo").alias("item_id"), F.col("hi").alias("neighbor_id"), "sx", "sy", "sxx", "syy"),
+            F.struct(
+                F.col("hi").alias("item_id"), F.col("lo").alias("neighbor_id"), F.col("sy").alias("sx"),
+                F.col("sx").alias("sy"), F.col("syy").alias("sxx"), F.col("sxx").alias("syy"),
+            ),
+        ))
+        .select(*moments, F.inline("ends"))
+        .join(wanted, "item_id", "left_semi")
+    )
+    co_rated = asked.join(directed, "item_id").join(owned, ["user_id", "neighbor_id"])
+
+    taken = co_rated.groupBy(*PAIR, "bucket", "user_items").agg(F.count(F.lit(1)).alias("_taken"))
+    held = F.least(F.lit(size), F.col("user_items") - F.col("bucket") * size)
+    crowded = taken.filter(held - F.col("_taken") < opts.neighbors)
+    # The first bucket that is not crowded: buckets 0, 1, 2, ... as long as the n-th crowded one is number n.
+    in_order = Window.partitionBy(*PAIR).orderBy("bucket")
+    run = (
+        crowded.withColumn("_nth", F.row_number().over(in_order) - 1)
+        .filter(F.col("_nth") == F.col("bucket"))
+        .groupBy(*PAIR).agg(F.count(F.lit(1)).alias("_run"))
+    )
+    upto = F.least("last_bucket", F.coalesce("_run", F.lit(0)))
+    rest = (
+        asked.join(run, list(PAIR), "left")
+        .select(*PAIR, F.explode(F.sequence(F.lit(0).cast("bigint"), upto)).alias("bucket"))
+        .join(owned, ["user_id", "bucket"])
+        .join(co_rated.select(*PAIR, "neighbor_id"), [*PAIR, "neighbor_id"], "left_anti")
         .select(
-            *PAIR, "neighbor_id", "neighbor_stars", "copies",
-            F.coalesce("n", F.lit(0)).alias("n"), "rule", similarity_weight(F.col("rule")).alias("w"),
+            *PAIR, "neighbor_id", "neighbor_stars", "copies", F.lit(0).cast("bigint").alias("n"),
+            F.lit("no_co_raters").alias("rule"), F.lit(NO_CO_RATERS).alias("w"),
         )
     )
+    return _rule_and_weight(co_rated, mean).unionByName(rest)
 
 
 def _neighbor_order(order: str) -> list[Column]:
@@ -261,11 +330,11 @@ def top_neighbors(weights: DataFrame, opts: CFOptions = CFOptions()) -> DataFram
 
 
 def confidence(weights: DataFrame) -> DataFrame:
-    """Per request: candidates, computed correlations and whether there are enough of these."""
+    """Per request: number of computed correlations and whether there are enough of these."""
     computed = F.sum(F.when(F.col("w").isin(*FIXED_WEIGHTS), F.lit(0)).otherwise(F.col("copies")))
-    return weights.groupBy(*PAIR).agg(
-        F.sum("copies").alias("n_candidates"), computed.alias("n_computed")
-    ).withColumn("trusted", F.col("n_computed") >= TRUSTED_WEIGHTS)
+    return weights.groupBy(*PAIR).agg(computed.alias("n_computed")).withColumn(
+        "trusted", F.col("n_computed") >= TRUSTED_WEIGHTS
+    )
 
 
 def amplified_sums(best: DataFrame, table: DataFrame) -> DataFrame:
@@ -292,11 +361,39 @@ def known_requests(asked: DataFrame) -> DataFrame:
     return asked.filter(F.col("user_events").isNotNull() & F.col("item_events").isNotNull())
 
 
-def neighbor_weights(asked: DataFrame, table: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:
-    """All candidates of the classified requests with their weights."""
+def all_weights(asked: DataFrame, table: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:
+    """Every candidate of the classified requests with its weight."""
     known = known_requests(asked)
-    marked = mark_heavy(table, opts)
-    return weigh(candidates(known, marked, opts), pair_sums(marked, known, opts), global_mean(table))
+    marked = mark_heavy(table, heavy_users(table, opts))
+    return weigh(candidates(known, marked, opts), pair_sums(marked, known, known, opts), global_mean(table))
+
+
+def neighbor_weights(asked: DataFrame, table: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:
+    """The candidates that can be neighbours or count as computed, with their weights.
+
+    Complete for all but requests of heavy users for items that no heavy user rated; of
+    those, candidates that cannot be among the neighbours are left out unread.
+    """
+    known, mean = known_requests(asked), global_mean(table)
+    heavy = materialize(heavy_users(table, opts), "heavy-users")
+    if heavy.isEmpty():
+        marked = table.withColumn("splits", F.lit(None).cast("int"))
+        return weigh(candidates(known, marked, opts), pair_sums(marked, known, None), mean)
+    marked = mark_heavy(table, heavy)
+    reached = marked.filter(F.col("splits").isNotNull()).select("item_id").distinct()
+    sorted_out = materialize(
+        known.join(heavy.select("user_id", F.lit(True).alias("_heavy")), "user_id", "left")
+        .join(reached.withColumn("_reached", F.lit(True)), "item_id", "left")
+        .withColumn("sparse", F.col("_heavy").isNotNull() & F.col("_reached").isNull())
+        .drop("_heavy", "_reached"),
+        "known",
+    )
+    direct = sorted_out.filter(~F.col("sparse"))
+    # Pairs of sparse requests have light co-raters only, so their sums are complete as well.
+    sums = materialize(pair_sums(marked, sorted_out, direct, opts), "pair-sums")
+    return weigh(candidates(direct, marked, opts), sums, mean).unionByName(
+        _sparse_weights(sorted_out.filter("sparse"), marked, sums, mean, opts)
+    )
 
 
 def cf_predict(pairs: DataFrame, table: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:

@@ -103,20 +103,20 @@ def expand_copies(df: DataFrame, chunk: int = 1_000_000) -> DataFrame:
     )
 
 
-def row_range(df: DataFrame, order: Sequence[str], lo: int, hi: int) -> DataFrame:
-    """Rows number ``lo`` to ``hi`` - 1 in ``order``, counted from 0, in column ``row_no``.
+def number_rows(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` with ``row_no``, its place in ``order`` counted from 0.
 
     The sort stays spread over range partitions. A row's number is its place within
     its partition plus the sizes of the partitions before it; only those sizes, one row
     per partition, are ever summed in one place.
     """
-    place = F.monotonically_increasing_id()
     # Checkpointed: the partition bounds come from a sample, and sizes and rows must see the same ones.
     placed = cut_lineage(
         df.orderBy(*order)
-        .withColumn("_place", place)
-        .withColumn("_part", F.shiftright("_place", 33))
-        .withColumn("_place", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
+        .withColumn("_id", F.monotonically_increasing_id())
+        .withColumn("_part", F.shiftright("_id", 33))
+        .withColumn("_place", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+        .drop("_id")
     )
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -124,6 +124,10 @@ def row_range(df: DataFrame, order: Sequence[str], lo: int, hi: int) -> DataFram
     return (
         placed.join(starts, "_part")
         .withColumn("row_no", F.col("_start") + F.col("_place"))
-        .filter((F.col("row_no") >= lo) & (F.col("row_no") < hi))
         .drop("_part", "_place", "_start")
     )
+
+
+def row_range(df: DataFrame, order: Sequence[str], lo: int, hi: int) -> DataFrame:
+    """Rows number ``lo`` to ``hi`` - 1 in ``order``."""
+    return number_rows(df, order).filter((F.col("row_no") >= lo) & (F.col("row_no") < hi))

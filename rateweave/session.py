@@ -46,8 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, in one folder per application."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark).rstrip('/')}/rateweave/{app}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
