@@ -48,7 +48,8 @@ class CFOptions:
     exclude_target: bool = False
     heavy_user_items: int = 2_000
     items_per_split: int = 100_000
-    bucket_items: int = 1_000
+    bucket_items: int = 200
+    hash_rows_per_partition: int = 2_000_000
 
 
 def classify_requests(pairs: DataFrame, table: DataFrame) -> DataFrame:
@@ -368,6 +369,32 @@ def all_weights(asked: DataFrame, table: DataFrame, opts: CFOptions = CFOptions(
     return weigh(candidates(known, marked, opts), pair_sums(marked, known, known, opts), global_mean(table))
 
 
+def _load(table: DataFrame, opts: CFOptions) -> tuple[int, int]:
+    """Items of the heaviest user, and item pairs that the light users make up together."""
+    n = F.col("_items")
+    row = (
+        table.groupBy("user_id").agg(F.count(F.lit(1)).alias("_items"))
+        .agg(
+            F.coalesce(F.max(n), F.lit(0)).alias("most"),
+            F.coalesce(
+                F.sum(F.when(n <= opts.heavy_user_items, (n * (n + 1) / 2).cast("bigint"))), F.lit(0)
+            ).alias("pairs"),
+        )
+        .first()
+    )
+    return row["most"], row["pairs"]
+
+
+def _join_method(sums: DataFrame, rows_at_most: int, opts: CFOptions) -> DataFrame:
+    """Pair sums have one row per key, so a hash join may build on them if partitions are small.
+
+    Beyond that size the default sort-merge join, which can spill, is left in place.
+    """
+    partitions = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = rows_at_most <= opts.hash_rows_per_partition * partitions
+    return sums.hint("shuffle_hash") if small else sums
+
+
 def neighbor_weights(asked: DataFrame, table: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:
     """The candidates that can be neighbours or count as computed, with their weights.
 
@@ -375,10 +402,12 @@ def neighbor_weights(asked: DataFrame, table: DataFrame, opts: CFOptions = CFOpt
     those, candidates that cannot be among the neighbours are left out unread.
     """
     known, mean = known_requests(asked), global_mean(table)
-    heavy = materialize(heavy_users(table, opts), "heavy-users")
-    if heavy.isEmpty():
+    most_items, light_pairs = _load(table, opts)
+    if most_items <= opts.heavy_user_items:
         marked = table.withColumn("splits", F.lit(None).cast("int"))
-        return weigh(candidates(known, marked, opts), pair_sums(marked, known, None), mean)
+        sums = _join_method(pair_sums(marked, known, None), light_pairs, opts)
+        return weigh(candidates(known, marked, opts), sums, mean)
+    heavy = materialize(heavy_users(table, opts), "heavy-users")
     marked = mark_heavy(table, heavy)
     reached = marked.filter(F.col("splits").isNotNull()).select("item_id").distinct()
     sorted_out = materialize(

@@ -63,6 +63,6 @@ def read_lookup(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object ``{key: code}`` as a table with one row per key."""
     as_map = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
     return (
-        spark.read.option("wholetext", True).text(path)
+        spark.read.text(path, wholetext=True)
         .select(F.explode(as_map).alias("lookup_key", "code"))
     )
