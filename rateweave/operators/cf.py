@@ -278,7 +278,8 @@ def _sparse_weights(
         .select(*moments, F.inline("ends"))
         .join(wanted, "item_id", "left_semi")
     )
-    co_rated = asked.join(directed, "item_id").join(owned, ["user_id", "neighbor_id"])
+    owned = materialize(owned, "owned")
+    co_rated = materialize(asked.join(directed, "item_id").join(owned, ["user_id", "neighbor_id"]), "co-rated")
 
     taken = co_rated.groupBy(*PAIR, "bucket", "user_items").agg(F.count(F.lit(1)).alias("_taken"))
     held = F.least(F.lit(size), F.col("user_items") - F.col("bucket") * size)
