@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rateweave.session import materialize
+
 ORDER = ("ord1", "ord2", "ord3", "ord4")
 VAL_FROM = "2000-04-01"
 REQUESTS_FROM = "2000-12-01"
@@ -28,14 +30,22 @@ class Inputs:
         self.sf_dir = sf_dir
         self.dense = dense
         self._tables: dict[str, DataFrame] = {}
+        self._bag: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
             self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._tables[name]
 
+    def store(self) -> Inputs:
+        """Write the rating events once, for queries that read several periods or one repeatedly."""
+        self._bag = materialize(self.bag(), "events")
+        return self
+
     def bag(self) -> DataFrame:
         """All rating events with the period each belongs to."""
+        if self._bag is not None:
+            return self._bag
         item = "l_suppkey" if self.dense else "l_partkey"
         lines = self.table("lineitem").select(
             "l_orderkey", F.col(item).alias("item_id"), "l_linenumber", "l_quantity", "l_shipdate"

@@ -52,6 +52,10 @@ def sources(i: Inputs) -> features.Sources:
     return features.Sources(i.users(), i.items(), i.reviews(), i.checkins(), i.lookup())
 
 
+def stored_sources(i: Inputs) -> features.Sources:
+    return features.store(sources(i))
+
+
 # --- sources and sinks -------------------------------------------------------
 
 
@@ -97,7 +101,7 @@ def scan_lookup_map(spark: SparkSession, sf: str) -> DataFrame:
 
 def sink_predictions_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "predictions-csv")
-    sinks.write_predictions(_blended(Inputs(spark, sf)), path)
+    sinks.write_predictions(_blended(Inputs(spark, sf).store()), path)
     back = spark.read.schema("user_id string, item_id string, prediction double").option("header", True).csv(path)
     return back.select(*PAIR, _r("prediction"))
 
@@ -185,7 +189,7 @@ def dict_encode(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feat_interactions(spark: SparkSession, sf: str) -> DataFrame:
-    return _frame(Inputs(spark, sf)).select(*PAIR, _r("stars_product"), _r("votes_sum"))
+    return _frame(Inputs(spark, sf).store()).select(*PAIR, _r("stars_product"), _r("votes_sum"))
 
 
 def linear_interp(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,7 +201,7 @@ def linear_interp(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clip_range(spark: SparkSession, sf: str) -> DataFrame:
-    i = Inputs(spark, sf)
+    i = Inputs(spark, sf).store()
     known = cf.known_requests(cf.classify_requests(_pairs(i), _table(i)))
     spread = F.col("user_mean") + (F.col("item_mean") - F.col("user_mean")) * 4
     return known.select(*PAIR, F.round(scalar.clip(spread, 1, 5), 6).alias("clipped"))
@@ -216,7 +220,7 @@ def impute_constant(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cold_start_class(spark: SparkSession, sf: str) -> DataFrame:
-    i = Inputs(spark, sf)
+    i = Inputs(spark, sf).store()
     return cf.classify_requests(_pairs(i), _table(i)).select(*PAIR, cf.cold_start_class().alias("cold_class"))
 
 
@@ -224,14 +228,14 @@ def cold_start_class(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feat_user_join(spark: SparkSession, sf: str) -> DataFrame:
-    i = Inputs(spark, sf)
+    i = Inputs(spark, sf).store()
     return _pairs(i).join(features.user_features(sources(i)), "user_id", "left").select(
         *PAIR, _r("average_stars"), "user_review_count", "user_events", _r("date_var", 2)
     )
 
 
 def feat_item_join(spark: SparkSession, sf: str) -> DataFrame:
-    i = Inputs(spark, sf)
+    i = Inputs(spark, sf).store()
     return _pairs(i).join(features.item_features(sources(i)), "item_id", "left").select(
         *PAIR, "item_stars", "item_review_count", "item_events",
         F.col("checkin_slots").cast("bigint").alias("checkin_slots"),
@@ -244,7 +248,7 @@ def _known(i: Inputs, table: DataFrame) -> DataFrame:
 
 
 def cf_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    i = Inputs(spark, sf)
+    i = Inputs(spark, sf).store()
     table = _stored_table(i)
     return cf.candidates(_known(i, table), cf.mark_heavy(table, cf.heavy_users(table))).select(
         *PAIR, "neighbor_id", "neighbor_stars", "copies"
@@ -258,12 +262,12 @@ def _weights(i: Inputs, every: bool = False) -> DataFrame:
 
 
 def co_rating_counts(spark: SparkSession, sf: str) -> DataFrame:
-    weights = _weights(Inputs(spark, sf), every=True)
+    weights = _weights(Inputs(spark, sf).store(), every=True)
     return weights.select("item_id", "neighbor_id", F.col("n").alias("co_raters")).distinct()
 
 
 def friend_item_mean(spark: SparkSession, sf: str) -> DataFrame:
-    i = Inputs(spark, sf)
+    i = Inputs(spark, sf).store()
     pairs = materialize(_pairs(i), "asked")
     edges = social.weighted_edges(i.users(), pairs)
     return social.friend_item_mean(pairs, edges, materialize(_reviewed(i), "reviews")).select(
@@ -301,7 +305,7 @@ def _both_sides(make: Callable[[str, str], DataFrame]) -> DataFrame:
 
 
 def group_to_list(spark: SparkSession, sf: str) -> DataFrame:
-    table = _stored_table(Inputs(spark, sf))
+    table = _stored_table(Inputs(spark, sf).store())
     lists = _both_sides(lambda key, other: ratings.group_to_list(table, key, other))
     return lists.select("side", "id", "chunk_no", *[
         F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("members", "copies")
@@ -309,7 +313,7 @@ def group_to_list(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def entity_means(spark: SparkSession, sf: str) -> DataFrame:
-    table = _stored_table(Inputs(spark, sf))
+    table = _stored_table(Inputs(spark, sf).store())
     return _both_sides(lambda key, _: ratings.entity_stats(table, key)).select(
         "side", "id", "events", _r("mean_stars")
     )
@@ -342,7 +346,7 @@ def global_mode(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pcc_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    i = Inputs(spark, sf)
+    i = Inputs(spark, sf).store()
     table = _stored_table(i)
     known = materialize(_known(i, table), "asked")
     marked = cf.mark_heavy(table, cf.heavy_users(table))
@@ -356,22 +360,22 @@ def pcc_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def similarity_ladder(spark: SparkSession, sf: str) -> DataFrame:
-    return _weights(Inputs(spark, sf), every=True).select(
+    return _weights(Inputs(spark, sf).store(), every=True).select(
         "item_id", "neighbor_id", F.col("n").alias("co_raters"), "rule", _r("w")
     ).distinct()
 
 
 def topk_neighbors(spark: SparkSession, sf: str, order: str = "weight") -> DataFrame:
-    best = cf.top_neighbors(_weights(Inputs(spark, sf)), cf.CFOptions(order=order))
+    best = cf.top_neighbors(_weights(Inputs(spark, sf).store()), cf.CFOptions(order=order))
     return best.select(*PAIR, "neighbor_id", _r("w"), "copies")
 
 
 def cf_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    return cf.confidence(_weights(Inputs(spark, sf)))
+    return cf.confidence(_weights(Inputs(spark, sf).store()))
 
 
 def cf_predict(spark: SparkSession, sf: str, dense: bool = False) -> DataFrame:
-    i = Inputs(spark, sf, dense)
+    i = Inputs(spark, sf, dense).store()
     return cf.cf_predict(_pairs(i), _stored_table(i)).select(*PAIR, "cf_case", _r("cf"), "trusted")
 
 
@@ -382,11 +386,11 @@ def _blended(i: Inputs) -> DataFrame:
 
 
 def blend_means(spark: SparkSession, sf: str) -> DataFrame:
-    return _blended(Inputs(spark, sf)).select(*PAIR, _r("prediction"))
+    return _blended(Inputs(spark, sf).store()).select(*PAIR, _r("prediction"))
 
 
 def impute_mean(spark: SparkSession, sf: str) -> DataFrame:
-    i = Inputs(spark, sf)
+    i = Inputs(spark, sf).store()
     t = features.feature_tables(sources(i))
     stand_ins = features.constants(t)
     names = ("useful", "cool", "user_avg_stars", "item_avg_stars", "friend_count")
@@ -399,7 +403,7 @@ def impute_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def impute_opening(spark: SparkSession, sf: str) -> DataFrame:
-    i = Inputs(spark, sf)
+    i = Inputs(spark, sf).store()
     t = features.feature_tables(sources(i))
     rule = features.RULES["opening_time"]
     value = impute(F.col(rule.source), features.constants(t)[rule.default], rule.zero_is_missing)
@@ -416,11 +420,11 @@ def _validated(i: Inputs) -> DataFrame:
 
 
 def eval_rmse(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.rmse(_validated(Inputs(spark, sf))).select("n", _r("rmse"))
+    return evaluate.rmse(_validated(Inputs(spark, sf).store())).select("n", _r("rmse"))
 
 
 def eval_error_hist(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.error_histogram(_validated(Inputs(spark, sf)))
+    return evaluate.error_histogram(_validated(Inputs(spark, sf).store()))
 
 
 # --- unions, frames, models, blends ------------------------------------------
@@ -431,13 +435,13 @@ def union_ratings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _frame(i: Inputs) -> DataFrame:
-    s = sources(i)
+    s = stored_sources(i)
     pairs = materialize(_pairs(i), "asked")
     return features.feature_frame(pairs, s, features.feature_tables(s), materialize(_reviewed(i), "reviews"))
 
 
 def _training(i: Inputs) -> DataFrame:
-    s = sources(i)
+    s = stored_sources(i)
     reviewed = materialize(_reviewed(i), "reviews")
     return features.training_frame(i.val(), s, features.feature_tables(s), reviewed)
 
@@ -447,11 +451,11 @@ def _rounded(frame: DataFrame, *keep: str) -> DataFrame:
 
 
 def feature_frame(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(_frame(Inputs(spark, sf)), *PAIR)
+    return _rounded(_frame(Inputs(spark, sf).store()), *PAIR)
 
 
 def training_frame(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(_training(Inputs(spark, sf)), *PAIR, "label")
+    return _rounded(_training(Inputs(spark, sf).store()), *PAIR, "label")
 
 
 def fit_quick(i: Inputs) -> tuple:
@@ -460,13 +464,13 @@ def fit_quick(i: Inputs) -> tuple:
 
 
 def gbt_predict(spark: SparkSession, sf: str) -> DataFrame:
-    i = Inputs(spark, sf)
+    i = Inputs(spark, sf).store()
     return models.ensemble_score(fit_quick(i), _frame(i))
 
 
 def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of a model before saving and after loading."""
-    i = Inputs(spark, sf)
+    i = Inputs(spark, sf).store()
     model = models.fit(materialize(_training(i), "training"), QUICK_A)
     path = fresh_path(spark, "model")
     models.save(model, path)
@@ -475,7 +479,7 @@ def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tune_gbt(spark: SparkSession, sf: str) -> DataFrame:
-    frame = materialize(_training(Inputs(spark, sf)), "training")
+    frame = materialize(_training(Inputs(spark, sf).store()), "training")
     _, summary = models.tune(frame, QUICK_A, {"maxDepth": [2, 4], "stepSize": [0.05, 0.2]})
     return spark.createDataFrame(
         [(p["maxDepth"], p["stepSize"], p["rmse"]) for p in summary], "depth int, step double, rmse double"
@@ -495,7 +499,7 @@ def _stand_in(i: Inputs) -> tuple[DataFrame, DataFrame]:
 
 
 def ensemble_mean(spark: SparkSession, sf: str) -> DataFrame:
-    i = Inputs(spark, sf)
+    i = Inputs(spark, sf).store()
     table = _stored_table(i)
     mean = ratings.global_mean(table)
     both = models.ensemble_mean(F.coalesce("user_mean", mean), F.coalesce("item_mean", mean))
@@ -503,12 +507,12 @@ def ensemble_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_blend(spark: SparkSession, sf: str) -> DataFrame:
-    return hybrid.hybrid_blend(*_stand_in(Inputs(spark, sf))).select(*PAIR, _r("prediction"))
+    return hybrid.hybrid_blend(*_stand_in(Inputs(spark, sf).store())).select(*PAIR, _r("prediction"))
 
 
 def hybrid_predict(spark: SparkSession, sf: str) -> DataFrame:
     """The whole job: fit both models, then predict every requested row."""
-    i = Inputs(spark, sf)
+    i = Inputs(spark, sf).store()
     return pipeline.predict(
         i.requests(), [i.train(), i.val()], ORDER, sources(i), fit_quick(i)
     )

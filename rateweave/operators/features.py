@@ -7,7 +7,7 @@ stay in the plan as scalar subqueries.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +66,14 @@ class Sources:
     lookup: DataFrame
 
 
+def store(s: Sources) -> Sources:
+    """The sources with users and reviews parsed once; several steps read them."""
+    columns = ["user_id", "item_id", "stars", "rated_on"]
+    return replace(
+        s, users=materialize(s.users, "users"), reviews=materialize(s.reviews.select(*columns), "review-events")
+    )
+
+
 def encode_by_lookup(users: DataFrame, lookup: DataFrame) -> DataFrame:
     """``user_id, lookup_code``: 1 for code F, 0 for M, null where the name is not listed."""
     code = F.when(F.col("code") == "F", F.lit(1.0)).when(F.col("code") == "M", F.lit(0.0))
