@@ -463,6 +463,7 @@ def oracle_sql() -> dict[str, str]:
         "union_ratings": q("SELECT user_id, item_id, stars, rated_on FROM events_all", "events_all"),
         "feature_frame": q(f"SELECT {_frame_columns(False)} FROM frame", "frame", **_REQUESTED),
         "training_frame": q(f"SELECT {_frame_columns(True)} FROM frame", "frame", **_TRAINING),
+        "model_roundtrip": q("SELECT user_id, item_id, TRUE AS same FROM pairs", "pairs"),
         "ensemble_mean": q(f"SELECT user_id, item_id, round(model_score, 6) AS model_score FROM ({_STAND_IN})",
                            "cf", "mu", "user_stats", "item_stats"),
         "hybrid_blend": q(f"""

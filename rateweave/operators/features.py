@@ -16,7 +16,7 @@ from rateweave.functions import mode, scalar
 from rateweave.functions.impute import Rule, impute
 from rateweave.operators.ratings import PAIR, activity_counts
 from rateweave.operators.social import friend_feature
-from rateweave.session import materialize
+from rateweave.session import materialize, together
 
 # The features in the order the models expect, with their imputation rules.
 # A feature without a rule is worked out from features before it.
@@ -69,9 +69,11 @@ class Sources:
 def store(s: Sources) -> Sources:
     """The sources with users and reviews parsed once; several steps read them."""
     columns = ["user_id", "item_id", "stars", "rated_on"]
-    return replace(
-        s, users=materialize(s.users, "users"), reviews=materialize(s.reviews.select(*columns), "review-events")
+    users, reviews = together(
+        lambda: materialize(s.users, "users"),
+        lambda: materialize(s.reviews.select(*columns), "review-events"),
     )
+    return replace(s, users=users, reviews=reviews)
 
 
 def encode_by_lookup(users: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -162,9 +164,10 @@ class FeatureTables:
 
 
 def feature_tables(s: Sources) -> FeatureTables:
-    return FeatureTables(
-        materialize(user_features(s), "user-features"), materialize(item_features(s), "item-features")
-    )
+    return FeatureTables(*together(
+        lambda: materialize(user_features(s), "user-features"),
+        lambda: materialize(item_features(s), "item-features"),
+    ))
 
 
 def constants(t: FeatureTables) -> dict[str, Column]:

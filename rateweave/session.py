@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,3 +69,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def together(*steps: Callable[[], DataFrame]) -> tuple[DataFrame, ...]:
+    """Run steps that write independent tables at the same time, so that they share the executors."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return tuple(done.result() for done in [pool.submit(step) for step in steps])
