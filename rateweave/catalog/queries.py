@@ -185,7 +185,7 @@ def feat_hours_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 def dict_encode(spark: SparkSession, sf: str) -> DataFrame:
     i = Inputs(spark, sf)
-    return features.encode_by_lookup(i.users(), i.lookup())
+    return features.with_lookup_code(i.users(), i.lookup()).select("user_id", "lookup_code")
 
 
 def feat_interactions(spark: SparkSession, sf: str) -> DataFrame:

@@ -76,25 +76,23 @@ def store(s: Sources) -> Sources:
     return replace(s, users=users, reviews=reviews)
 
 
-def encode_by_lookup(users: DataFrame, lookup: DataFrame) -> DataFrame:
-    """``user_id, lookup_code``: 1 for code F, 0 for M, null where the name is not listed."""
-    code = F.when(F.col("code") == "F", F.lit(1.0)).when(F.col("code") == "M", F.lit(0.0))
-    return users.select("user_id", F.lower("name").alias("lookup_key")).join(
-        lookup, "lookup_key", "left"
-    ).select("user_id", code.alias("lookup_code"))
-
-
-def user_profiles(users: DataFrame, lookup: DataFrame) -> DataFrame:
+def with_lookup_code(users: DataFrame, lookup: DataFrame) -> DataFrame:
+    """``users`` with ``lookup_code``: 1 for code F, 0 for M, null where the name is not listed."""
     code = F.when(F.col("code") == "F", F.lit(1.0)).when(F.col("code") == "M", F.lit(0.0))
     return (
         users.withColumn("lookup_key", F.lower("name"))
         .join(lookup, "lookup_key", "left")
-        .select(
-            "user_id", "average_stars", F.col("review_count").alias("user_review_count"),
-            scalar.date_code(F.col("member_since")).alias("since_code"),
-            "fans", "funny", "useful", "cool", "compliment_hot", "compliment_note",
-            scalar.list_length(F.col("friends")).alias("friend_count"), code.alias("lookup_code"),
-        )
+        .withColumn("lookup_code", code)
+        .drop("lookup_key", "code")
+    )
+
+
+def user_profiles(users: DataFrame, lookup: DataFrame) -> DataFrame:
+    return with_lookup_code(users, lookup).select(
+        "user_id", "average_stars", F.col("review_count").alias("user_review_count"),
+        scalar.date_code(F.col("member_since")).alias("since_code"),
+        "fans", "funny", "useful", "cool", "compliment_hot", "compliment_note",
+        scalar.list_length(F.col("friends")).alias("friend_count"), "lookup_code",
     )
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
+from dataclasses import replace
 
 from rateweave.operators import models
 from rateweave.operators.features import Sources
@@ -41,14 +42,10 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _settings(args: argparse.Namespace) -> list[models.Boosting]:
-    from dataclasses import replace
-
-    out = []
-    for b in (models.MODEL_A, models.MODEL_B):
-        out.append(replace(
-            b, trees=args.trees or b.trees, depth=min(b.depth, args.max_depth or b.depth)
-        ))
-    return out
+    return [
+        replace(b, trees=args.trees or b.trees, depth=min(b.depth, args.max_depth or b.depth))
+        for b in (models.MODEL_A, models.MODEL_B)
+    ]
 
 
 def main(argv: Sequence[str] | None = None) -> None:
