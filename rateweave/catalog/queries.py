@@ -459,8 +459,7 @@ def training_frame(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fit_quick(i: Inputs) -> tuple:
-    frame = materialize(_training(i), "training")
-    return models.fit(frame, QUICK_A), models.fit(frame, QUICK_B)
+    return pipeline.train_models(sources(i), i.val(), (QUICK_A, QUICK_B))
 
 
 def gbt_predict(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,8 +4,8 @@ import random
 
 import pytest
 
-from rateweave.operators import evaluate, hybrid, models
-from rateweave.plans import jobs
+from rateweave.operators import evaluate, features, hybrid, models
+from rateweave.plans import jobs, pipeline
 from rateweave.sources import readers, sinks
 
 
@@ -99,6 +99,19 @@ def test_train_and_predict(spark, folder, tmp_path):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, second))
 
 
+def test_fits_repeat(spark, folder):
+    at = folder[0]
+    s = features.Sources(
+        readers.read_users(spark, f"{at}/user.json", "joined"), readers.read_items(spark, f"{at}/business.json"),
+        readers.read_reviews(spark, f"{at}/review_train.json"), readers.read_checkins(spark, f"{at}/checkin.json"),
+        readers.read_lookup(spark, f"{at}/lookup.json"),
+    )
+    small = models.Boosting(trees=2, depth=3, feature_share=0.7)
+    val = readers.read_ratings(spark, f"{at}/val.csv")
+    fits = [pipeline.train_models(s, val, (small,))[0].stages[-1].toDebugString for _ in range(2)]
+    assert fits[0].split("\n")[1:] == fits[1].split("\n")[1:]
+
+
 def test_predict_needs_requests(folder):
     with pytest.raises(SystemExit):
         jobs.main(["predict", "--data", "x", "--models", "y"])
