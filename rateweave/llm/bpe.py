@@ -19,10 +19,9 @@ import heapq
 import json
 import re
 import struct
-import sys
 import unicodedata
-from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -35,8 +34,8 @@ REMEMBERED_WORDS = 1 << 19
 REMEMBERED_PIECES = 1 << 18
 #: Below this code point, NFC leaves every character alone, and lower case is the same everywhere.
 PLAIN_BELOW = 0x180
-#: From this many symbols on, a heap finds the next merge; below, a scan is quicker. Both merge alike.
-HEAP_FROM = 200
+#: Fragments of this many symbols are merged one by one with a heap, shorter ones side by side. Both merge alike.
+HEAP_FROM = 64
 NO_MERGE = 1 << 62
 SPACES = "\t\n\x0b\x0c\r \x85\xa0"
 SUFFIX = "</w>"
@@ -61,22 +60,39 @@ def plain_words() -> re.Pattern:
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACES}{letters}{numbers}]+")
 
 
-def packed(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}I", *ids)
-
-
-class Remembered(dict):
-    """Packed ids by string, made when first asked for; at most ``most`` at a time."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, text):
-        if len(self) >= self.most:
-            self.clear()
-        ids = self[text] = self.make(text)
-        return ids
+class PairTable:
+    """Merge ranks by pair of ids, looked up for whole arrays.
+
+    Pairs are kept in a table by hash; the few whose place is taken go to a second table under a hash without clashes.
+    """
+
+    def __init__(self, ranks: dict[tuple[int, int], int]):
+        pairs = np.array(list(ranks), np.uint64).reshape(-1, 2)
+        keys, values = self.key(pairs[:, 0], pairs[:, 1]), np.fromiter(ranks.values(), np.int64)
+        self.tables = []
+        factor = 0x9E3779B97F4A7C15
+        while len(keys):
+            shift = np.uint64(64 - max(10, int(len(keys)).bit_length() + 4))
+            places = (keys * np.uint64(factor)) >> shift
+            _, first = np.unique(places, return_index=True)
+            size = 1 << (64 - int(shift))
+            held, found = np.zeros(size, np.uint64), np.full(size, NO_MERGE, np.int64)
+            held[places[first]], found[places[first]] = keys[first], values[first]
+            self.tables.append((np.uint64(factor), shift, held, found))
+            keys, values = np.delete(keys, first), np.delete(values, first)
+            factor = (factor * 0xD1342543DE82EF95 + 1) % (1 << 64) | 1
+
+    @staticmethod
+    def key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return (left.astype(np.uint64) << np.uint64(32)) | (right.astype(np.uint64) + np.uint64(1))
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys, out = self.key(left, right), np.full(len(left), NO_MERGE, np.int64)
+        for factor, shift, held, found in self.tables:
+            places = (keys * factor) >> shift
+            hit = held[places] == keys
+            out[hit] = found[places[hit]]
+        return out
 
 
 class Bpe:
@@ -94,58 +110,84 @@ class Bpe:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[vocabulary[a], vocabulary[b]] = rank << 32 | vocabulary[a + b]
         characters = byte_characters()
-        self.of_byte = [vocabulary[c] for c in characters]
-        self.of_last = [vocabulary[c + SUFFIX] for c in characters]
+        self.of_byte = np.array([vocabulary[c] for c in characters])
+        self.of_last = np.array([vocabulary[c + SUFFIX] for c in characters])
         self.characters = {c: b for b, c in enumerate(characters)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in vocabulary.items()} | {i: t for t, i in self.special.items()}
+        self.pairs = PairTable(self.ranks)
         self.joined = self.neighbours(vocabulary)
         self.find_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.find_words = plain_words()
         # str.split() takes \x1c-\x1f for blanks, the file's pattern does not
         self.unusual = re.compile(f"[^\\x00-\\x1b\\x20-{chr(PLAIN_BELOW - 1)}]")
         self.library = None
-        self.words = Remembered(lambda word: self.word(word.encode("utf-8")), REMEMBERED_WORDS)
-        self.pieces = Remembered(
-            lambda piece: b"".join(map(self.words.__getitem__, self.find_words.findall(piece))), REMEMBERED_PIECES
-        )
-
-    def neighbours(self, vocabulary: dict[str, int]) -> set[tuple[int, int]]:
-        """Pairs of byte ids that stand side by side in some token."""
-        pairs = set()
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def neighbours(self, vocabulary: dict[str, int]) -> np.ndarray:
+        """For two bytes, the second not the last or the last of its word: whether they stand side by side in some token."""
+        joined = np.zeros((256, 512), bool)
         for token in vocabulary:
             end = token.endswith(SUFFIX)
-            ids = [self.of_byte[self.characters[c]] for c in (token[: -len(SUFFIX)] if end else token)]
-            if end and ids:
-                ids[-1] = vocabulary[token[-len(SUFFIX) - 1] + SUFFIX]
-            pairs.update(zip(ids, ids[1:]))
-        return pairs
-
-    def word(self, word: bytes) -> bytes:
-        """The packed ids of one word."""
-        ids = [self.of_byte[b] for b in word]
-        ids[-1] = self.of_last[word[-1]]
-        pairs = list(zip(ids, ids[1:]))
-        if self.joined.issuperset(pairs):
-            return packed(self.merge(ids))
-        cuts = [i for i, pair in enumerate(pairs, 1) if pair not in self.joined]
-        return b"".join(packed(self.merge(ids[a:b])) for a, b in zip([0, *cuts], [*cuts, len(ids)]))
-
-    def merge(self, ids: list[int]) -> list[int]:
-        """Merge a fragment: lowest rank first, leftmost among equals."""
-        if len(ids) >= HEAP_FROM:
-            return self.merge_long(ids)
-        rank = self.ranks.get
-        found = [rank(pair, NO_MERGE) for pair in zip(ids, ids[1:])]
-        while found and (best := min(found)) != NO_MERGE:
-            i = found.index(best)
-            ids[i] = best & 0xFFFFFFFF
-            del ids[i + 1], found[i]
-            if i:
-                found[i - 1] = rank((ids[i - 1], ids[i]), NO_MERGE)
-            if i < len(found):
-                found[i] = rank((ids[i], ids[i + 1]), NO_MERGE)
-        return ids
+            units = [self.characters[c] for c in (token[: -len(SUFFIX)] if end else token)]
+            if end and units:
+                units[-1] += 256
+            for a, b in zip(units, units[1:]):
+                joined[a, b] = True
+        return joined
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of each of many words."""
+        if not words:
+            return []
+        text = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        last = np.zeros(len(text), bool)
+        last[ends - 1] = True
+        ids = np.where(last, self.of_last[text], self.of_byte[text])
+        word = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
+        cut = last.copy()
+        cut[:-1] |= ~self.joined[text[:-1], text[1:] + 256 * last[1:]]
+        fragment = np.cumsum(cut) - cut
+        ids, word = self.merge(ids, fragment, word)
+        counts = np.bincount(word, minlength=len(words))
+        packed, stops = ids.astype("<u4").tobytes(), 4 * np.cumsum(counts)
+        return [packed[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist())]
+
+    def merge(self, ids: np.ndarray, fragment: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge all fragments at once, one merge in each per step: lowest rank first, leftmost among equals.
+
+        Long fragments are merged one by one. Returns ids and words in their order.
+        """
+        order = np.arange(len(ids))
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        sizes = np.bincount(fragment)
+        for f in np.flatnonzero(sizes >= HEAP_FROM):
+            own = np.flatnonzero(fragment == f)
+            merged = np.array(self.merge_long(ids[own].tolist()))
+            done.append((merged, word[own[: len(merged)]], order[own[: len(merged)]]))
+        rest = sizes[fragment] < HEAP_FROM
+        ids, fragment, word, order = ids[rest], fragment[rest], word[rest], order[rest]
+        while len(ids):
+            starts = np.flatnonzero(np.diff(fragment, prepend=-1))
+            found = np.full(len(ids), NO_MERGE, np.int64)
+            inner = np.flatnonzero(fragment[:-1] == fragment[1:])
+            found[inner] = self.pairs(ids[inner], ids[inner + 1])
+            best = np.minimum.reduceat(found, starts)
+            best = np.repeat(best, np.diff(starts, append=len(ids)))
+            going = best != NO_MERGE
+            done.append((ids[~going], word[~going], order[~going]))
+            ids, fragment, word, order, found, best = (x[going] for x in (ids, fragment, word, order, found, best))
+            at = np.flatnonzero(found == best)
+            at = at[np.diff(fragment[at], prepend=-1) != 0]
+            ids[at] = best[at] & 0xFFFFFFFF
+            left = np.ones(len(ids), bool)
+            left[at + 1] = False
+            ids, fragment, word, order = ids[left], fragment[left], word[left], order[left]
+        ids, word, order = (np.concatenate(x) for x in zip(*done)) if done else (ids, word, order)
+        sort = np.argsort(order)
+        return ids[sort], word[sort]
 
     def merge_long(self, ids: list[int]) -> list[int]:
         ranks, n = self.ranks, len(ids)
@@ -169,17 +211,44 @@ class Bpe:
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The packed ids of each text. Words that are not remembered are encoded together."""
+        parts = [self.parts(text) for text in texts]
+        self.learn(set().union(*(pieces for own in parts for kind, pieces in own if kind == "pieces")))
+        return [
+            b"".join(
+                b"".join(map(self.pieces.__getitem__, found)) if kind == "pieces" else found for kind, found in own
+            ) for own in parts
+        ]
+
+    def parts(self, text: str | None) -> list[tuple[str, list[str] | bytes]]:
+        """A text as pieces between blanks, and ids of special tokens and of texts with unusual characters."""
         if not text:
-            return b""
-        parts = self.find_special.split(text) if self.special and self.find_special.search(text) else [text]
-        return b"".join(
-            struct.pack("<I", self.special[part]) if k % 2 else self.ordinary(part) for k, part in enumerate(parts)
-        )
-
-    def ordinary(self, text: str) -> bytes:
-        if self.unusual.search(text):
-            return b"".join(map(self.word, self.unusual_words(text)))
-        return b"".join(map(self.pieces.__getitem__, text.lower().split()))
+            return []
+        cut = self.find_special.split(text) if self.special and self.find_special.search(text) else [text]
+        out = []
+        for k, part in enumerate(cut):
+            if k % 2:
+                out.append(("ids", struct.pack("<I", self.special[part])))
+            elif self.unusual.search(part):
+                out.append(("ids", b"".join(self.encode_words(self.unusual_words(part)))))
+            else:
+                out.append(("pieces", part.lower().split()))
+        return out
+
+    def learn(self, needed: set[str]) -> None:
+        """Make sure that all these pieces are remembered."""
+        if len(self.pieces) > REMEMBERED_PIECES:
+            self.pieces.clear()
+        if len(self.words) > REMEMBERED_WORDS:
+            self.words.clear()
+        new = [(piece, self.find_words.findall(piece)) for piece in needed if piece not in self.pieces]
+        words = list({w for _, found in new for w in found if w not in self.words})
+        self.words.update(zip(words, self.encode_words([w.encode("utf-8") for w in words])))
+        for piece, found in new:
+            self.pieces[piece] = b"".join(map(self.words.__getitem__, found))
 
     def unusual_words(self, text: str) -> list[bytes]:
         """Words by the tokenizers library's own Unicode tables."""
@@ -231,7 +300,7 @@ def encode(docs: DataFrame, bpe: Shared, text: str = "text", ids: str = "token_i
     """``docs`` with the packed ids (binary, little-endian unsigned 32-bit) of the whole text."""
 
     def make(part: pa.RecordBatch) -> list[list]:
-        return [[*map(bpe().encode, part.column(text).to_pylist())]]
+        return [bpe().encode_all(part.column(text).to_pylist())]
 
     return with_python_columns(docs, [(ids, T.BinaryType(), pa.binary())], make)
 

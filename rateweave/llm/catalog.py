@@ -29,7 +29,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids to seekable files and read them back."""
     vocabulary = bpe.vocabulary(spark, VOCABULARY)
     manifest = token_files.write(
-        table(spark, sf_dir, "documents"), lambda text: vocabulary().encode(text), END_ID, vocabulary.size
+        table(spark, sf_dir, "documents"), lambda texts: vocabulary().encode_all(texts), END_ID, vocabulary.size
     )
     return token_files.read(manifest).select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
 

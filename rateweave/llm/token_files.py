@@ -139,10 +139,10 @@ class ShardReader:
             yield (int(e["doc_id"]) if e["known"] else None), content[end - int(e["n"]) : end]
 
 
-def write(docs: DataFrame, encode: Callable[[str | None], bytes], end_id: int, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write(docs: DataFrame, encode: Callable[[list[str | None]], list[bytes]], end_id: int, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and write ``docs`` to a new folder in the shared one; return the manifest.
 
-    ``encode`` turns a text into packed 32-bit ids, on the executors. ``size`` is that of the vocabulary.
+    ``encode`` turns texts into packed 32-bit ids, on the executors. ``size`` is that of the vocabulary.
     """
     spark = docs.sparkSession
     folder = fresh_path(spark, "token-files")
@@ -162,11 +162,11 @@ def write(docs: DataFrame, encode: Callable[[str | None], bytes], end_id: int, s
             done.append((part, file_no, path, len(writer.entries), writer.tokens))
 
         for piece in slices(batches):
-            for i, body in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+            for i, ids in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist())):
                 if writer is None:
                     name = f"{part:06d}-{file_no:04d}-{uuid.uuid4().hex}.tokens"
                     path, writer = f"{folder}/{name}", ShardWriter(files.open_output_stream(f"{base}/{name}"), width)
-                writer.add(i, np.concatenate([np.frombuffer(encode(body), "<u4"), last]))
+                writer.add(i, np.concatenate([np.frombuffer(ids, "<u4"), last]))
                 if writer.bytes >= FILE_BYTES:
                     finish()
                     file_no, writer = file_no + 1, None
