@@ -7,8 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rateweave.llm import bpe, token_files
+from rateweave.llm import (
+    ann, bpe, licences, minhash, mixing, oracles, quality, token_files, toxicity, url_filter, warc,
+)
 from rateweave.llm.common import table
+from rateweave.session import materialize
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -25,6 +28,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents, links at 85 of 100."""
+    return minhash.classes(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids to seekable files and read them back."""
     vocabulary = bpe.vocabulary(spark, VOCABULARY)
@@ -34,10 +42,67 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest).select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix the sources of the documents: at most 0.95 of the greatest entropy, at most two repeats, nothing left out."""
+    return mixing.mix(table(spark, sf_dir, "documents"), entropy_share=0.95, max_repeats=2.0)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages to archives, index the captures, and read every record back through the index."""
+    directory = warc.write_index(warc.write(table(spark, sf_dir, "pages")))
+    records = warc.read(directory).select(
+        "page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("sha1")
+    )
+    records = materialize(records, "records")
+    # a revisit has the payload of the response it names
+    full = records.where("record_type = 'response'").select(
+        F.col("page_id").alias("refers_to"), "digest", F.col("n").alias("full_n"), F.col("sha1").alias("full_sha1")
+    ).distinct()
+    own = F.col("record_type") == "response"
+    return records.join(full, ["refers_to", "digest"], "left").select(
+        "page_id", F.when(own, F.col("n")).otherwise(F.col("full_n")).alias("payload_bytes"),
+        F.when(own, F.col("sha1")).otherwise(F.col("full_sha1")).alias("payload_digest"), "record_type", "refers_to",
+    )
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector, among all vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(ann.build_index(vectors), vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages' URLs."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of the line-first rules on all documents."""
+    return quality.clean(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_words"
+    )
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of all documents, by a model fitted on the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.rated(docs, labels).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_bpe, op3_token_files)
-    return {f.__name__: f for f in named}
+    import corpus_pipeline
+
+    named = (
+        op1_bpe, op2_minhash, op3_token_files, op4_mix, op5_warc, op6_ann, op7_url_filter, op8_licences, op9_quality, op10_toxicity,
+    )
+    return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

@@ -42,6 +42,10 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
+def text_key(text):
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
 def exponent(sources: DataFrame, entropy_share: float, max_repeats: float, budget: int | None = None) -> float:
     """The smallest exponent that meets both limits, by bisection on sums over (source, tokens)."""
     total, n = sources.where("tokens > 0").agg(F.sum("tokens"), F.count("*")).first()
@@ -101,7 +105,7 @@ def mix(
     counted = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
         (F.col(tokens).cast("long") if tokens else word_count(F.col(text))).alias("tokens"),
-        F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_key"),
+        text_key(F.col(text)).alias("text_key"),
     )
     counted = materialize(counted, "counted")
     targets = materialize(weights(counted, entropy_share, max_repeats, budget_tokens), "weights").withColumnRenamed("tokens", "all_tokens")
@@ -130,6 +134,6 @@ def mix(
     placed = placed.where((F.col("at") < F.col("part")) | (F.col("all_tokens") == 0) | ((F.col("tokens") == 0) & (F.col("at") == F.col("part"))))
     share = F.greatest(F.col("weight") * F.lit(float(block_tokens)), F.lit(1.0))
     return placed.select(
-        "doc_id", "source", "tokens", "weight", F.col("pass").cast("int").alias("pass"),
+        "doc_id", "text_key", "source", "tokens", "weight", F.col("pass").cast("int").alias("pass"),
         F.floor(F.col("at") / share).cast("long").alias("block"), F.col("key").alias("place"),
     )

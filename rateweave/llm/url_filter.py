@@ -98,7 +98,7 @@ def log_ratios(texts: DataFrame) -> DataFrame:
         level = level.withColumn("context", F.expr(f"left(gram, {k})"))
         contexts = level.groupBy("context").agg(*(
             f(c).alias(f"{name}_{c}") for c in ("allow", "block")
-            for name, f in (("N", lambda c: F.sum(f"n_{c}")), ("T", lambda c: F.count(F.when(F.col(f"n_{c}") > 0, 1))))
+            for name, f in (("seen", lambda c: F.sum(f"n_{c}")), ("kinds", lambda c: F.count(F.when(F.col(f"n_{c}") > 0, 1))))
         ))
         level = level.join(contexts, "context")
         if below is None:
@@ -106,8 +106,8 @@ def log_ratios(texts: DataFrame) -> DataFrame:
         else:
             level = level.withColumn("shorter", F.expr(f"right(gram, {k})")).join(below.withColumnRenamed("gram", "shorter"), "shorter")
         p = {
-            c: F.when(F.col(f"N_{c}") == 0, F.col(f"q_{c}")).otherwise(
-                (F.col(f"n_{c}") + F.col(f"T_{c}") * F.col(f"q_{c}")) / (F.col(f"N_{c}") + F.col(f"T_{c}"))
+            c: F.when(F.col(f"seen_{c}") == 0, F.col(f"q_{c}")).otherwise(
+                (F.col(f"n_{c}") + F.col(f"kinds_{c}") * F.col(f"q_{c}")) / (F.col(f"seen_{c}") + F.col(f"kinds_{c}"))
             ) for c in ("allow", "block")
         }
         below = level.select("gram", *(p[c].alias(f"q_{c}") for c in p))
