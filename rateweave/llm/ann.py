@@ -35,8 +35,10 @@ from rateweave.session import materialize
 PROJECTED = 8
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
+#: A block of vectors and a block of queries make a task, up to this many tasks.
+MOST_TASKS = 100_000
 LEAF = 64
-CONFIDENCE = 0.99
+CONFIDENCE = 0.95
 SEED = 7
 
 
@@ -160,7 +162,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, confidence: float
         F.collect_list(F.struct("vec_id", "vector", "key")).alias("asked")  # about QUERY_ROWS rows
     )
     dealt = index.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    met = dealt.join(groups, "group").repartition("block", "group").select("ids", "vectors", "asked", "dims")
+    tasks = max(1, min(n * index.count(), MOST_TASKS))
+    met = dealt.join(groups, "group").repartition(tasks, "block", "group").select("ids", "vectors", "asked", "dims")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:

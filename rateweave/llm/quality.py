@@ -4,7 +4,7 @@ Lines are what newlines divide; lines without a word are neither judged nor coun
 that holds:
 
 * punctuation: many of its words carry symbols or double exclamation marks, or it is long and has no punctuation at all;
-* navigation: it is a list of short items divided by bars, bullets or arrows;
+* navigation: it is a list of short items with bars, bullets or arrows between them;
 * boilerplate: it is short and holds a stock phrase of web pages, or it repeats an earlier line of the document, or one
   word makes up most of it, or most of its words stand beside the same word again.
 
@@ -38,10 +38,10 @@ STOCK_PHRASES = (
     "follow us on", "forgot your password", "log in", "lorem ipsum", "powered by", "privacy policy", "read more",
     "sign in", "sign up", "skip to content", "subscribe to our", "terms of service", "terms of use", "we use cookies",
 )
-STOCK = re.compile("|".join(map(re.escape, STOCK_PHRASES)))
-SYMBOL_WORD = re.compile(r"[^\s#*$%&|<>]*(?:[#*$%&|<>]{2,}|!!)\S*")
-DIVIDERS = re.compile(r"\s(?:\||»|›|•|·|>|/)(?=\s|$)")
-PUNCTUATION = re.compile(r"[.,;:!?…。！？]")
+STOCK = re.compile("|".join(STOCK_PHRASES), re.IGNORECASE | re.ASCII)
+SYMBOL_RUN = re.compile("[#*$%&|<>]{2}|!!")
+DIVIDERS = frozenset("|»›•·>/")
+PUNCTUATION = re.compile("[.,;:!?…。！？]")
 
 
 @dataclass(frozen=True)
@@ -65,14 +65,14 @@ class Rules:
 def line_fault(line: str, words: list[str], rules: Rules) -> str | None:
     """The rule by which a line fails, apart from repeating another line."""
     n = len(words)
-    if any(c in line for c in "#*$%&|<>!") and sum(1 for _ in SYMBOL_WORD.finditer(line)) > rules.symbol_share * n:
+    if SYMBOL_RUN.search(line) and sum(SYMBOL_RUN.search(w) is not None for w in words) > rules.symbol_share * n:
         return "punctuation"
     if n >= rules.unpunctuated_words and not PUNCTUATION.search(line):
         return "punctuation"
-    dividers = len(DIVIDERS.findall(line))
+    dividers = sum(map(DIVIDERS.__contains__, words))
     if dividers >= rules.nav_items - 1 and n - dividers <= rules.nav_item_words * (dividers + 1):
         return "navigation"
-    if n <= rules.stock_line_words and STOCK.search(line.lower()):
+    if n <= rules.stock_line_words and STOCK.search(line):
         return "boilerplate"
     if n >= rules.one_word_least:
         if Counter(words).most_common(1)[0][1] > rules.one_word_share * n:

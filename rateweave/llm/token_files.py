@@ -44,6 +44,8 @@ DIRECTORY_MAGIC, SEEK_MAGIC, CLOSING_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 1 << 18
 #: Content bytes from which a task starts another file.
 FILE_BYTES = 256 << 20
+#: Files are read by a task each, up to this many tasks.
+MOST_TASKS = 50_000
 LEVEL = 3
 ENTRY = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("frame", "<u4"), ("n", "<u8")])
 MANIFEST = "part int, file_no int, path string, docs long, tokens long"
@@ -220,7 +222,8 @@ def read(manifest: DataFrame, doc_ids: list[int] | None = None) -> DataFrame:
             [pa.array(v, k) for v, k in zip(zip(*group), kinds)], names=["doc_id", "start", "n_tokens", "token_ids"]
         )
 
-    return files.repartition(F.col("path")).mapInArrow(run, "doc_id long, start long, n_tokens long, token_ids binary")
+    # the rows are tiny, but each stands for a file of many megabytes: the number of tasks must not follow their size
+    return files.repartition(max(1, min(manifest.count(), MOST_TASKS)), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, token_ids binary")
 
 
 def dict_starts(shard: ShardReader, base: int, wanted: set | None) -> Iterator[int]:

@@ -38,6 +38,10 @@ from rateweave.session import fresh_path, materialize
 LEAST_REVISIT_BYTES = 1000
 FILE_BYTES = 256 << 20
 BLOCK_LINES = 3000
+#: Index blocks, and bytes of archives, that a reading task is given; beyond MOST_TASKS tasks, each gets more.
+TASK_BLOCKS = 8
+TASK_BYTES = 4 << 20
+MOST_TASKS = 100_000
 LEVEL = 4
 DATE = "2024-01-01T00:00:00Z"
 CAPTURES = "key string, page_id long, record_type string, path string, start long, size long"
@@ -233,8 +237,13 @@ def index_captures(directory: DataFrame) -> DataFrame:
                 rows = [capture_of(line) for line in block_lines(path, start, size)]
                 yield batch(rows, ["key", "page_id", "record_type", "path", "start", "size"], CAPTURE_KINDS)
 
+    # directory rows are tiny, but each stands for a block of thousands of lines: tasks are counted in blocks
     blocks = directory.select("path", "start", "size")
-    return blocks.repartition("path", "start").mapInArrow(run, CAPTURES)
+    return blocks.repartition(tasks(directory.count(), TASK_BLOCKS), "path", "start").mapInArrow(run, CAPTURES)
+
+
+def tasks(amount: int | None, of_task: int) -> int:
+    return max(1, min(-(-(amount or 0) // of_task), MOST_TASKS))
 
 
 def read(directory: DataFrame) -> DataFrame:
@@ -265,8 +274,9 @@ def read(directory: DataFrame) -> DataFrame:
         if file is not None:
             file.close()
 
-    ranges = index_captures(directory).select("path", "start", "size")
-    # a file's ranges are cut into stretches, so that a task has a bounded part of a file
-    stretch = F.floor(F.col("start") / F.lit(32 << 20))
-    ranges = ranges.repartition("path", stretch).sortWithinPartitions("path", "start")
+    ranges = materialize(index_captures(directory).select("path", "start", "size"), "ranges")
+    # the rows are tiny, but stand for megabytes: tasks are counted in bytes, and a file's ranges are cut into stretches
+    stretch = F.floor(F.col("start") / F.lit(TASK_BYTES))
+    n = tasks(ranges.agg(F.sum("size")).first()[0], TASK_BYTES)
+    ranges = ranges.repartition(n, "path", stretch).sortWithinPartitions("path", "start")
     return ranges.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, digest string, payload binary")
