@@ -140,8 +140,7 @@ _PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
         LEFT JOIN (SELECT user_id, count(CASE WHEN event_type = 'click' THEN 1 END) AS funny,
                           count(CASE WHEN event_type = 'view' THEN 1 END) AS useful,
                           count(CASE WHEN event_type = 'purchase' THEN 1 END) AS cool
-                   FROM events GROUP BY user_id) e ON e.user_id = c.c_custkey
-        WHERE c.c_acctbal >= -800""", ()),
+                   FROM events GROUP BY user_id) e ON e.user_id = c.c_custkey""", ()),
     "items": ("""
         SELECT p_partkey AS item_id,
                CASE WHEN p_size = 50 THEN 0.0::DOUBLE ELSE CAST(2 + p_size % 9 AS DOUBLE) / 2 END AS stars,
@@ -152,19 +151,19 @@ _PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
                CASE p_size % 3 WHEN 0 THEN 'True' WHEN 1 THEN 'False' END AS good_for_groups,
                CASE p_size % 5 WHEN 0 THEN 'no' WHEN 1 THEN 'free' WHEN 2 THEN 'paid' END AS wifi,
                CASE WHEN p_size % 6 < 4 THEN CAST(p_size % 6 + 1 AS VARCHAR) END AS price_range
-        FROM part WHERE p_type <> 'PROMO' OR p_size > 10""", ()),
+        FROM part""", ()),
     "hours": ("""
         SELECT p_partkey AS item_id, d.day,
                CAST((p_size + d.day) % 12 AS VARCHAR) || ':' || CAST(30 * (d.day % 2) AS VARCHAR) AS opens_at,
                CAST((p_partkey + d.day) % 3 * 9 + 3 AS VARCHAR) || ':0' AS closes_at
         FROM part CROSS JOIN (SELECT unnest(range(7)) AS day) d
-        WHERE (p_type <> 'PROMO' OR p_size > 10) AND p_size % 3 <> 0 AND (p_size + d.day) % 5 <> 0""", ()),
+        WHERE p_size % 3 <> 0 AND (p_size + d.day) % 5 <> 0""", ()),
     "checkin": ("""
         SELECT l_partkey AS item_id, day(l_shipdate) AS slot, count(*) AS n
-        FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01 00:00:00' GROUP BY l_partkey, day(l_shipdate)""", ()),
+        FROM lineitem GROUP BY l_partkey, day(l_shipdate)""", ()),
     "lookup": ("""
-        SELECT lower(n_name) AS lookup_key, CASE WHEN n_regionkey < 2 THEN 'F' ELSE 'M' END AS code
-        FROM nation WHERE n_regionkey <> 4""", ()),
+        SELECT lower(n_name) AS lookup_key, CASE WHEN n_regionkey < 2 THEN 'F' WHEN n_regionkey = 4 THEN 'U' ELSE 'M' END AS code
+        FROM nation""", ()),
     "open_close": ("""
         SELECT item_id, count(*) AS days_open,
                avg(CAST(replace(opens_at, ':', '.') AS DOUBLE)) AS opening_time
@@ -407,14 +406,8 @@ def oracle_sql() -> dict[str, str]:
         "dedupe_last": q("SELECT user_id, item_id, stars FROM last_rating", "last_rating"),
         "global_mean": q("SELECT round(m, 6) AS global_mean, (SELECT count(*) FROM last_rating) AS n FROM mu", "mu"),
         "group_to_list": q("""
-            SELECT 'user' AS side, user_id AS id, CAST(0 AS INTEGER) AS chunk_no,
-                   string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY item_id) AS members,
-                   string_agg(CAST(k AS VARCHAR), ' ' ORDER BY item_id) AS copies
-            FROM (SELECT user_id, item_id, count(*) AS k FROM events_all GROUP BY ALL) GROUP BY user_id
-            UNION ALL
-            SELECT 'item', item_id, 0, string_agg(CAST(user_id AS VARCHAR), ' ' ORDER BY user_id),
-                   string_agg(CAST(k AS VARCHAR), ' ' ORDER BY user_id)
-            FROM (SELECT user_id, item_id, count(*) AS k FROM events_all GROUP BY ALL) GROUP BY item_id""", "events_all"),
+            SELECT 'user' AS side, user_id AS id, item_id AS member, count(*) AS copies FROM events_all GROUP BY user_id, item_id
+            UNION ALL SELECT 'item', item_id, user_id, count(*) FROM events_all GROUP BY user_id, item_id""", "events_all"),
         "entity_means": q("""
             SELECT 'user' AS side, user_id AS id, un AS events, round(um, 6) AS mean_stars FROM user_stats
             UNION ALL SELECT 'item', item_id, cnt, round(im, 6) FROM item_stats""", "user_stats", "item_stats"),
@@ -433,6 +426,8 @@ def oracle_sql() -> dict[str, str]:
         "topk_neighbors": _topk_sql("best"),
         "topk_neighbors_signed": _topk_sql("best_signed"),
         "topk_neighbors_abs": _topk_sql("best_abs"),
+        "topk_neighbors_heavy": _topk_sql("best"),
+        "cf_predict_heavy": q(_CF, "cf"),
         "cf_confidence": q(
             "SELECT user_id, item_id, n_computed, n_computed >= 2 AS trusted FROM trust", "trust"),
         "cf_predict": q(_CF, "cf"),

@@ -20,6 +20,7 @@ from rateweave.sources import readers, sinks
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Small boosting settings, so that fitting does not dwarf the rest of a query.
+HEAVY = cf.CFOptions(heavy_user_items=15, pairs_per_split=200)
 QUICK_A = models.Boosting(trees=5, depth=4, feature_share=0.7, bins=64)
 QUICK_B = models.Boosting(trees=5, depth=5, feature_share=0.8, bins=64)
 
@@ -89,12 +90,10 @@ def scan_json_items(spark: SparkSession, sf: str) -> DataFrame:
 def scan_lookup_map(spark: SparkSession, sf: str) -> DataFrame:
     i = Inputs(spark, sf)
     path = fresh_path(spark, "lookup-json")
-    # One object holds the whole lookup, as in the file format; it has one entry per nation.
-    whole = i.lookup().agg(F.map_from_entries(F.collect_list(F.struct("lookup_key", "code"))).alias("m"))
-    whole.select(F.to_json("m").alias("value")).coalesce(1).write.text(path)
+    i.lookup().select(F.to_json(F.create_map("lookup_key", "code")).alias("value")).write.text(path)
     names = i.users().groupBy(F.lower("name").alias("lookup_key")).agg(F.count("user_id").alias("n_users"))
     return (
-        readers.read_lookup(spark, path).join(names, "lookup_key", "left")
+        readers.read_lookup(spark, path, lines=True).join(names, "lookup_key", "left")
         .select("lookup_key", "code", F.coalesce("n_users", F.lit(0)).alias("n_users"))
     )
 
@@ -250,19 +249,19 @@ def _known(i: Inputs, table: DataFrame) -> DataFrame:
 def cf_candidates(spark: SparkSession, sf: str) -> DataFrame:
     i = Inputs(spark, sf).store()
     table = _stored_table(i)
-    return cf.candidates(_known(i, table), cf.mark_heavy(table, cf.heavy_users(table))).select(
+    return cf.candidates(_known(i, table), table).select(
         *PAIR, "neighbor_id", "neighbor_stars", "copies"
     )
 
 
-def _weights(i: Inputs, every: bool = False) -> DataFrame:
+def _weights(i: Inputs, opts: cf.CFOptions = cf.CFOptions()) -> DataFrame:
     table = _stored_table(i)
     asked = materialize(cf.classify_requests(_pairs(i), table), "asked")
-    return cf.all_weights(asked, table) if every else cf.neighbor_weights(asked, table)
+    return cf.neighbor_weights(asked, table, opts)
 
 
 def co_rating_counts(spark: SparkSession, sf: str) -> DataFrame:
-    weights = _weights(Inputs(spark, sf).store(), every=True)
+    weights = _weights(Inputs(spark, sf).store())
     return weights.select("item_id", "neighbor_id", F.col("n").alias("co_raters")).distinct()
 
 
@@ -306,10 +305,13 @@ def _both_sides(make: Callable[[str, str], DataFrame]) -> DataFrame:
 
 def group_to_list(spark: SparkSession, sf: str) -> DataFrame:
     table = _stored_table(Inputs(spark, sf).store())
-    lists = _both_sides(lambda key, other: ratings.group_to_list(table, key, other))
-    return lists.select("side", "id", "chunk_no", *[
-        F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("members", "copies")
-    ])
+    sides = [
+        ratings.group_members(table, key, other).select(
+            F.lit(side).alias("side"), F.col(key).alias("id"), F.col(other).alias("member"), "copies"
+        )
+        for side, key, other in (("user", "user_id", "item_id"), ("item", "item_id", "user_id"))
+    ]
+    return sides[0].unionByName(sides[1])
 
 
 def entity_means(spark: SparkSession, sf: str) -> DataFrame:
@@ -349,9 +351,9 @@ def pcc_pairs(spark: SparkSession, sf: str) -> DataFrame:
     i = Inputs(spark, sf).store()
     table = _stored_table(i)
     known = materialize(_known(i, table), "asked")
-    marked = cf.mark_heavy(table, cf.heavy_users(table))
-    asked = cf.candidates(known, marked).select("item_id", "neighbor_id").distinct()
-    sums = cf.pair_sums(marked, known, known)
+    cand = cf.candidates(known, table)
+    asked = cand.select("item_id", "neighbor_id").distinct()
+    sums = cf.pair_sums(table, cf.needed_pairs(cand))
     return (
         cf.with_pair(asked).join(sums, ["lo", "hi"])
         .select("item_id", "neighbor_id", F.col("n").alias("co_raters"), F.round(cf.pearson(), 6).alias("pearson"))
@@ -360,13 +362,13 @@ def pcc_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def similarity_ladder(spark: SparkSession, sf: str) -> DataFrame:
-    return _weights(Inputs(spark, sf).store(), every=True).select(
+    return _weights(Inputs(spark, sf).store()).select(
         "item_id", "neighbor_id", F.col("n").alias("co_raters"), "rule", _r("w")
     ).distinct()
 
 
-def topk_neighbors(spark: SparkSession, sf: str, order: str = "weight") -> DataFrame:
-    best = cf.top_neighbors(_weights(Inputs(spark, sf).store()), cf.CFOptions(order=order))
+def topk_neighbors(spark: SparkSession, sf: str, opts: cf.CFOptions = cf.CFOptions()) -> DataFrame:
+    best = cf.top_neighbors(_weights(Inputs(spark, sf).store(), opts), opts)
     return best.select(*PAIR, "neighbor_id", _r("w"), "copies")
 
 
@@ -374,9 +376,9 @@ def cf_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return cf.confidence(_weights(Inputs(spark, sf).store()))
 
 
-def cf_predict(spark: SparkSession, sf: str, dense: bool = False) -> DataFrame:
+def cf_predict(spark: SparkSession, sf: str, dense: bool = False, opts: cf.CFOptions = cf.CFOptions()) -> DataFrame:
     i = Inputs(spark, sf, dense).store()
-    return cf.cf_predict(_pairs(i), _stored_table(i)).select(*PAIR, "cf_case", _r("cf"), "trusted")
+    return cf.cf_predict(_pairs(i), _stored_table(i), opts).select(*PAIR, "cf_case", _r("cf"), "trusted")
 
 
 def _blended(i: Inputs) -> DataFrame:
@@ -533,7 +535,10 @@ def queries() -> dict[str, Query]:
         hybrid_predict,
     ]
     out: dict[str, Query] = {fn.__name__: fn for fn in plain}
-    out["topk_neighbors_signed"] = partial(topk_neighbors, order="signed")
-    out["topk_neighbors_abs"] = partial(topk_neighbors, order="abs")
+    out["topk_neighbors_signed"] = partial(topk_neighbors, opts=cf.CFOptions(order="signed"))
+    out["topk_neighbors_abs"] = partial(topk_neighbors, opts=cf.CFOptions(order="abs"))
+    # limits that send most users the way of heavy ones, and deal most users' candidates over splits
+    out["topk_neighbors_heavy"] = partial(topk_neighbors, opts=HEAVY)
+    out["cf_predict_heavy"] = partial(cf_predict, opts=HEAVY)
     out["cf_predict_dense"] = partial(cf_predict, dense=True)
     return out

@@ -2,17 +2,16 @@
 
 The weight of a neighbour item depends on the item pair alone, so it is worked out once
 per pair from six sums over the users who rated both, never from lists of users.
-Where the work could pile up, the data is split by how heavy a user is:
+Only the item pairs that requests need are summed. Where the work could pile up, it is dealt out:
 
-* Co-ratings of a light user are the pairs of that user's items: at most
-  ``heavy_user_items`` pairs per rating.
-* Co-ratings of a heavy user are looked up for the item pairs that requests need, from
-  the item with fewer heavy raters. A heavy user's items are never paired with each other.
-* A request of a heavy user reads the items that share a rater with the requested one and
-  as many others as can become neighbours, not all that the user rated. Where a heavy user
-  rated the requested item too, all are read, dealt out over several join keys.
+* Co-ratings of a light user are the pairs of that user's items, cut by the needed item pairs before
+  they are summed: at most ``heavy_user_items`` pairs per rating.
+* Co-ratings of a heavy user are looked up for the needed item pairs, from the item with fewer heavy raters.
+  A heavy user's items are never paired with each other.
+* A user's requests meet the user's items under several keys, so that a key makes about ``pairs_per_split``
+  candidates at most, whether the requests or the items are many.
 
-All of this is exact; ``CFOptions`` moves the limits, not the result.
+There is one plan for all data: parts without rows cost nothing. ``CFOptions`` moves the limits, not the result.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rateweave.functions.scalar import amplify, clip, reflect_rating
-from rateweave.operators.ratings import PAIR, entity_stats, global_mean, number_rows
+from rateweave.operators.ratings import PAIR, entity_stats, global_mean
 from rateweave.session import materialize
 
 # Neighbour weights used where a correlation is not computed.
@@ -35,7 +34,9 @@ ONE_MIXED = 0.35
 TWO_OR_THREE = 0.65
 NO_VARIANCE = 0.70
 NO_COVARIANCE = 0.95
-FIXED_WEIGHTS = (0.65, 0.75, 0.8, 0.35, 0.7, 0.95)
+FIXED_WEIGHTS = tuple(sorted({
+    NO_CO_RATERS, ONE_BOTH_ABOVE, ONE_BOTH_BELOW, ONE_MIXED, TWO_OR_THREE, NO_VARIANCE, NO_COVARIANCE,
+}))
 # Neighbours per prediction and correlations needed to trust it.
 NEIGHBORS = 20
 TRUSTED_WEIGHTS = 2
@@ -47,9 +48,7 @@ class CFOptions:
     order: str = "weight"
     exclude_target: bool = False
     heavy_user_items: int = 2_000
-    items_per_split: int = 100_000
-    bucket_items: int = 200
-    hash_rows_per_partition: int = 2_000_000
+    pairs_per_split: int = 1_000_000
 
 
 def classify_requests(pairs: DataFrame, table: DataFrame) -> DataFrame:
@@ -75,29 +74,31 @@ def cold_start_class() -> Column:
     )
 
 
-def heavy_users(table: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:
-    """Users with more items than ``heavy_user_items`` and the splits their items are dealt into."""
-    return (
+def mark_heavy(table: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:
+    """The rating table with ``heavy``: whether the user has more than ``heavy_user_items`` items."""
+    heavy = (
         table.groupBy("user_id").agg(F.count(F.lit(1)).alias("_items"))
         .filter(F.col("_items") > opts.heavy_user_items)
-        .select("user_id", F.ceil(F.col("_items") / opts.items_per_split).cast("int").alias("splits"))
+        .select("user_id", F.lit(True).alias("heavy"))
     )
+    return table.join(heavy, "user_id", "left").withColumn("heavy", F.col("heavy").isNotNull())
 
 
-def mark_heavy(table: DataFrame, heavy: DataFrame) -> DataFrame:
-    """The rating table with ``splits``: null for a light user's rows."""
-    return table.join(heavy, "user_id", "left")
-
+def candidates(known: DataFrame, table: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:
+    """Every item the requesting user rated, per request: ``user, item, neighbor, rating, copies``.
 
-def candidates(
-    known: DataFrame, marked: DataFrame, opts: CFOptions = CFOptions(), keep: tuple[str, ...] = ()
-) -> DataFrame:
-    """Every item the requesting user rated, per request: ``user, item, neighbor, rating, copies``."""
-    splits = F.greatest(F.ceil(F.col("user_items") / opts.items_per_split).cast("int"), F.lit(1))
-    probe = known.select(*PAIR, *keep, F.explode(F.sequence(F.lit(0), splits - 1)).alias("_split"))
-    rated = marked.select(
+    The items of a user with many requests, items or both are dealt over several splits, and the user's requests go to each.
+    """
+    pairs = F.count(F.lit(1)) * F.first("user_items")
+    splits = F.least(F.ceil(pairs / opts.pairs_per_split), F.first("user_items")).cast("int")
+    split = known.groupBy("user_id").agg(splits.alias("_splits")).filter(F.col("_splits") > 1)
+    last = F.coalesce(F.col("_splits"), F.lit(1)) - 1
+    probe = known.join(split, "user_id", "left").select(
+        *PAIR, F.explode(F.sequence(F.lit(0), last)).alias("_split")
+    )
+    rated = table.join(split, "user_id", "left").select(
         "user_id", F.col("item_id").alias("neighbor_id"), F.col("stars").alias("neighbor_stars"), "copies",
-        F.pmod(F.hash("item_id"), F.coalesce("splits", F.lit(1))).alias("_split"),
+        F.pmod(F.hash("item_id"), F.coalesce("_splits", F.lit(1))).alias("_split"),
     )
     out = probe.join(rated, ["user_id", "_split"]).drop("_split")
     return out.filter(F.col("item_id") != F.col("neighbor_id")) if opts.exclude_target else out
@@ -109,47 +110,35 @@ def with_pair(cand: DataFrame) -> DataFrame:
     )
 
 
-def _light_co_ratings(marked: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(lo, hi, x, y) for each light user and each pair of the user's items with a wanted one."""
-    rows = (
-        marked.filter(F.col("splits").isNull())
-        .join(wanted.withColumn("wanted", F.lit(True)), "item_id", "left")
-        .select("user_id", "item_id", "stars", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    )
-    a = rows.toDF("user_id", "lo", "x", "lo_wanted")
-    b = rows.toDF("user_id", "hi", "y", "hi_wanted")
-    return (
-        a.join(b, "user_id")
-        .filter((F.col("lo") <= F.col("hi")) & (F.col("lo_wanted") | F.col("hi_wanted")))
-        .select("lo", "hi", "x", "y")
-    )
+def needed_pairs(cand: DataFrame) -> DataFrame:
+    """The distinct item pairs ``lo <= hi`` of candidates, written once: both kinds of co-ratings start from them."""
+    return materialize(with_pair(cand).select("lo", "hi").distinct(), "needed-pairs")
+
+
+def _light_co_ratings(marked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(lo, hi, x, y) for each light user and each needed pair of the user's items."""
+    rows = marked.filter(~F.col("heavy")).select("user_id", "item_id", "stars")
+    a, b = rows.toDF("user_id", "lo", "x"), rows.toDF("user_id", "hi", "y")
+    together = a.join(b, "user_id").filter(F.col("lo") <= F.col("hi")).select("lo", "hi", "x", "y")
+    return together.join(pairs, ["lo", "hi"], "left_semi")
 
 
-def _heavy_co_ratings(marked: DataFrame, known: DataFrame, opts: CFOptions) -> DataFrame:
-    """(lo, hi, x, y) of heavy users for the candidate pairs, probing from the lighter item.
+def _heavy_co_ratings(marked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(lo, hi, x, y) of heavy users for the needed pairs, probing from the item with fewer heavy raters.
 
-    Only requests for items that a heavy user rated are expanded, so without heavy users
-    nothing is.
+    Only pairs of items that heavy users rated are looked up, so without heavy users nothing is.
     """
-    heavy = marked.filter(F.col("splits").isNotNull()).select("user_id", "item_id", "stars")
+    heavy = marked.filter("heavy").select("user_id", "item_id", "stars")
     raters = heavy.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n"))
-    asked = known.join(raters.toDF("item_id", "item_n"), "item_id")
-    pairs = (
-        with_pair(
-            candidates(asked, marked, opts, keep=("item_n",))
-            .join(raters.toDF("neighbor_id", "neighbor_n"), "neighbor_id")
-        )
-        .withColumn("item_first", F.col("item_n") <= F.col("neighbor_n"))
+    lo_first = F.col("lo_n") <= F.col("hi_n")
+    probes = (
+        pairs.join(raters.toDF("lo", "lo_n"), "lo").join(raters.toDF("hi", "hi_n"), "hi")
         .select(
-            "lo", "hi",
-            F.when(F.col("item_first"), F.col("item_id")).otherwise(F.col("neighbor_id")).alias("near"),
-            F.when(F.col("item_first"), F.col("neighbor_id")).otherwise(F.col("item_id")).alias("far"),
+            "lo", "hi", F.when(lo_first, F.col("lo")).otherwise(F.col("hi")).alias("near"),
+            F.when(lo_first, F.col("hi")).otherwise(F.col("lo")).alias("far"),
         )
-        # Both directions of a pair may be asked for; keep one.
-        .groupBy("lo", "hi").agg(F.min(F.struct("near", "far")).alias("p"))
-        .select("lo", "hi", "p.near", "p.far")
     )
-    both = pairs.join(heavy.toDF("user_id", "near", "near_stars"), "near").join(
+    both = probes.join(heavy.toDF("user_id", "near", "near_stars"), "near").join(
         heavy.toDF("user_id", "far", "far_stars"), ["user_id", "far"]
     )
     straight = F.col("near") == F.col("lo")
@@ -169,18 +158,10 @@ def _sum_co_ratings(rows: DataFrame) -> DataFrame:
     )
 
 
-def pair_sums(
-    marked: DataFrame, known: DataFrame, expanded: DataFrame | None, opts: CFOptions = CFOptions()
-) -> DataFrame:
-    """Six sums over the co-raters of each item pair ``lo <= hi`` that has any.
-
-    Pairs are those with an item of ``known``. Co-ratings of heavy users are added for the
-    candidates of ``expanded``; without it there must be no heavy users.
-    """
-    rows = _light_co_ratings(marked, known.select("item_id").distinct())
-    if expanded is not None:
-        rows = rows.unionByName(_heavy_co_ratings(marked, expanded, opts))
-    return _sum_co_ratings(rows)
+def pair_sums(table: DataFrame, pairs: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:
+    """Six sums over the co-raters of each of the needed ``pairs`` (lo <= hi, distinct) that has any."""
+    marked = mark_heavy(table, opts)
+    return _sum_co_ratings(_light_co_ratings(marked, pairs).unionByName(_heavy_co_ratings(marked, pairs)))
 
 
 def _spread() -> tuple[Column, Column, Column]:
@@ -232,79 +213,13 @@ def similarity_weight(case: Column) -> Column:
 
 def weigh(cand: DataFrame, sums: DataFrame, mean: Column) -> DataFrame:
     """Candidates with ``n``, ``rule`` and weight ``w``."""
-    return _rule_and_weight(with_pair(cand).join(sums, ["lo", "hi"], "left"), mean)
-
-
-def _rule_and_weight(joined: DataFrame, mean: Column) -> DataFrame:
+    joined = with_pair(cand).join(sums, ["lo", "hi"], "left")
     return joined.withColumn("rule", similarity_case(mean)).select(
         *PAIR, "neighbor_id", "neighbor_stars", "copies",
         F.coalesce("n", F.lit(0)).alias("n"), "rule", similarity_weight(F.col("rule")).alias("w"),
     )
 
 
-def _sparse_weights(
-    known: DataFrame, marked: DataFrame, sums: DataFrame, mean: Column, opts: CFOptions
-) -> DataFrame:
-    """Weights for requests of heavy users for items that no heavy user rated.
-
-    Few of such a user's many items share a rater with the requested one, and all others
-    have the same weight. The former are met from the pair sums. Of the latter only those
-    with the smallest ids can be among the neighbours: the user's items are cut into
-    buckets in id order, and buckets are read up to the first that alone holds enough items
-    without co-raters. Buckets before that are nearly full of co-rated items, so what is
-    read stays in proportion to them.
-    """
-    size = opts.bucket_items
-    rows = number_rows(
-        marked.filter(F.col("splits").isNotNull()).select(*PAIR, "stars", "copies"), PAIR
-    )
-    first = rows.groupBy("user_id").agg(F.min("row_no").alias("_first"))
-    owned = rows.join(first, "user_id").select(
-        "user_id", F.col("item_id").alias("neighbor_id"), F.col("stars").alias("neighbor_stars"), "copies",
-        F.floor((F.col("row_no") - F.col("_first")) / size).alias("bucket"),
-    )
-    asked = known.select(*PAIR, F.floor((F.col("user_items") - 1) / size).alias("last_bucket"), "user_items")
-    wanted = asked.select("item_id").distinct()
-    moments = ("n", "sxy")
-    directed = (
-        sums.filter(F.col("lo") != F.col("hi"))
-        .withColumn("ends", F.array(
-            F.struct(F.col("lo").alias("item_id"), F.col("hi").alias("neighbor_id"), "sx", "sy", "sxx", "syy"),
-            F.struct(
-                F.col("hi").alias("item_id"), F.col("lo").alias("neighbor_id"), F.col("sy").alias("sx"),
-                F.col("sx").alias("sy"), F.col("syy").alias("sxx"), F.col("sxx").alias("syy"),
-            ),
-        ))
-        .select(*moments, F.inline("ends"))
-        .join(wanted, "item_id", "left_semi")
-    )
-    owned = materialize(owned, "owned")
-    co_rated = materialize(asked.join(directed, "item_id").join(owned, ["user_id", "neighbor_id"]), "co-rated")
-
-    taken = co_rated.groupBy(*PAIR, "bucket", "user_items").agg(F.count(F.lit(1)).alias("_taken"))
-    held = F.least(F.lit(size), F.col("user_items") - F.col("bucket") * size)
-    crowded = taken.filter(held - F.col("_taken") < opts.neighbors)
-    # The first bucket that is not crowded: buckets 0, 1, 2, ... as long as the n-th crowded one is number n.
-    in_order = Window.partitionBy(*PAIR).orderBy("bucket")
-    run = (
-        crowded.withColumn("_nth", F.row_number().over(in_order) - 1)
-        .filter(F.col("_nth") == F.col("bucket"))
-        .groupBy(*PAIR).agg(F.count(F.lit(1)).alias("_run"))
-    )
-    upto = F.least("last_bucket", F.coalesce("_run", F.lit(0)))
-    rest = (
-        asked.join(run, list(PAIR), "left")
-        .select(*PAIR, F.explode(F.sequence(F.lit(0).cast("bigint"), upto)).alias("bucket"))
-        .join(owned, ["user_id", "bucket"])
-        .join(co_rated.select(*PAIR, "neighbor_id"), [*PAIR, "neighbor_id"], "left_anti")
-        .select(
-            *PAIR, "neighbor_id", "neighbor_stars", "copies", F.lit(0).cast("bigint").alias("n"),
-            F.lit("no_co_raters").alias("rule"), F.lit(NO_CO_RATERS).alias("w"),
-        )
-    )
-    return _rule_and_weight(co_rated, mean).unionByName(rest)
-
-
 def _neighbor_order(order: str) -> list[Column]:
     w, tie = F.col("w"), F.col("neighbor_id").asc()
     if order == "weight":
@@ -363,67 +278,10 @@ def known_requests(asked: DataFrame) -> DataFrame:
     return asked.filter(F.col("user_events").isNotNull() & F.col("item_events").isNotNull())
 
 
-def all_weights(asked: DataFrame, table: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:
-    """Every candidate of the classified requests with its weight."""
-    known = known_requests(asked)
-    marked = mark_heavy(table, heavy_users(table, opts))
-    return weigh(candidates(known, marked, opts), pair_sums(marked, known, known, opts), global_mean(table))
-
-
-def _load(table: DataFrame, opts: CFOptions) -> tuple[int, int]:
-    """Items of the heaviest user, and item pairs that the light users make up together."""
-    n = F.col("_items")
-    row = (
-        table.groupBy("user_id").agg(F.count(F.lit(1)).alias("_items"))
-        .agg(
-            F.coalesce(F.max(n), F.lit(0)).alias("most"),
-            F.coalesce(
-                F.sum(F.when(n <= opts.heavy_user_items, (n * (n + 1) / 2).cast("bigint"))), F.lit(0)
-            ).alias("pairs"),
-        )
-        .first()
-    )
-    return row["most"], row["pairs"]
-
-
-def _join_method(sums: DataFrame, rows_at_most: int, opts: CFOptions) -> DataFrame:
-    """Pair sums have one row per key, so a hash join may build on them if partitions are small.
-
-    Beyond that size the default sort-merge join, which can spill, is left in place.
-    """
-    partitions = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = rows_at_most <= opts.hash_rows_per_partition * partitions
-    return sums.hint("shuffle_hash") if small else sums
-
-
 def neighbor_weights(asked: DataFrame, table: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:
-    """The candidates that can be neighbours or count as computed, with their weights.
-
-    Complete for all but requests of heavy users for items that no heavy user rated; of
-    those, candidates that cannot be among the neighbours are left out unread.
-    """
-    known, mean = known_requests(asked), global_mean(table)
-    most_items, light_pairs = _load(table, opts)
-    if most_items <= opts.heavy_user_items:
-        marked = table.withColumn("splits", F.lit(None).cast("int"))
-        sums = _join_method(pair_sums(marked, known, None), light_pairs, opts)
-        return weigh(candidates(known, marked, opts), sums, mean)
-    heavy = materialize(heavy_users(table, opts), "heavy-users")
-    marked = mark_heavy(table, heavy)
-    reached = marked.filter(F.col("splits").isNotNull()).select("item_id").distinct()
-    sorted_out = materialize(
-        known.join(heavy.select("user_id", F.lit(True).alias("_heavy")), "user_id", "left")
-        .join(reached.withColumn("_reached", F.lit(True)), "item_id", "left")
-        .withColumn("sparse", F.col("_heavy").isNotNull() & F.col("_reached").isNull())
-        .drop("_heavy", "_reached"),
-        "known",
-    )
-    direct = sorted_out.filter(~F.col("sparse"))
-    # Pairs of sparse requests have light co-raters only, so their sums are complete as well.
-    sums = materialize(pair_sums(marked, sorted_out, direct, opts), "pair-sums")
-    return weigh(candidates(direct, marked, opts), sums, mean).unionByName(
-        _sparse_weights(sorted_out.filter("sparse"), marked, sums, mean, opts)
-    )
+    """Every candidate of the classified requests with its weight."""
+    cand = candidates(known_requests(asked), table, opts)
+    return weigh(cand, pair_sums(table, needed_pairs(cand), opts), global_mean(table))
 
 
 def cf_predict(pairs: DataFrame, table: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:

@@ -58,23 +58,12 @@ def global_mean(table: DataFrame) -> Column:
     return table.agg(F.avg("stars")).scalar()
 
 
-def group_to_list(table: DataFrame, key: str, member: str, chunk: int = 10_000) -> DataFrame:
-    """``key, chunk_no, members, copies``: the sorted members of each key and their number of events.
+def group_members(table: DataFrame, key: str, member: str) -> DataFrame:
+    """``key, member, copies``: the members of each key and their numbers of events, one row each.
 
-    A key with more than about ``chunk`` members gets several rows, so that no list grows
-    with its group. For output; no other operator builds on lists.
+    The long form of a list per key: a key with any number of members stays spread over tasks.
     """
-    large = (
-        table.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk)
-        .select(key, F.ceil(F.col("_n") / chunk).cast("int").alias("_chunks"))
-    )
-    placed = table.join(large, key, "left").withColumn(
-        "chunk_no", F.pmod(F.hash(member), F.coalesce("_chunks", F.lit(1)))
-    )
-    entries = F.sort_array(F.collect_list(F.struct(member, "copies")))
-    return placed.groupBy(key, "chunk_no").agg(entries.alias("_e")).select(
-        key, "chunk_no", F.col(f"_e.{member}").alias("members"), F.col("_e.copies").alias("copies")
-    )
+    return table.groupBy(key, member).agg(F.sum("copies").alias("copies"))
 
 
 def activity_counts(events: DataFrame, key: str) -> DataFrame:

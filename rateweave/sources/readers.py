@@ -59,10 +59,10 @@ def read_checkins(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CHECKINS).json(path).withColumnRenamed("business_id", "item_id")
 
 
-def read_lookup(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object ``{key: code}`` as a table with one row per key."""
+def read_lookup(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON objects ``{key: code}`` as a table with one row per key: one object per file, or with ``lines`` one per line."""
     as_map = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
     return (
-        spark.read.text(path, wholetext=True)
+        spark.read.text(path, wholetext=not lines)
         .select(F.explode(as_map).alias("lookup_key", "code"))
     )

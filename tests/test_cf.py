@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rateweave.operators import cf
-from rateweave.operators.ratings import expand_copies, fold_requests, group_to_list, rating_table, row_range
+from rateweave.operators.ratings import expand_copies, fold_requests, group_members, rating_table, row_range
 from tests import brute
 
 
@@ -35,9 +35,9 @@ def _random_case(seed):
 
 SPLITS = [
     cf.CFOptions(),
-    cf.CFOptions(heavy_user_items=12, items_per_split=7, bucket_items=25),
-    cf.CFOptions(heavy_user_items=5, items_per_split=50, bucket_items=3, neighbors=4),
-    cf.CFOptions(heavy_user_items=50, bucket_items=10, neighbors=6),
+    cf.CFOptions(heavy_user_items=12, pairs_per_split=7),
+    cf.CFOptions(heavy_user_items=5, pairs_per_split=50, neighbors=4),
+    cf.CFOptions(heavy_user_items=0, pairs_per_split=1, neighbors=6),
 ]
 
 
@@ -54,17 +54,27 @@ def test_predictions_match_definition(spark, seed, opts):
         assert got[pair][2] == trusted, pair
 
 
-def test_heavy_user_reads_few_items_without_co_raters(spark):
+@pytest.mark.parametrize("opts", [cf.CFOptions(), cf.CFOptions(heavy_user_items=100, pairs_per_split=10)])
+def test_heavy_user_keeps_all_neighbors(spark, opts):
     rows = [(1, i, 3) for i in range(500)] + [(2, 1000, 4), (2, 7, 5), (3, 1000, 2)]
     table = rating_table(_events(spark, rows), ["ord"])
     pairs = spark.createDataFrame([(1, 1000)], "user_id long, item_id long")
     asked = cf.classify_requests(pairs, table)
-    opts = cf.CFOptions(heavy_user_items=100, bucket_items=50)
     weights = cf.neighbor_weights(asked, table, opts)
-    assert weights.count() == 50
-    assert cf.all_weights(asked, table, opts).count() == 500
+    assert weights.count() == 500
     best = {r.neighbor_id for r in cf.top_neighbors(weights, opts).collect()}
-    assert best == set(range(20))
+    assert len(best) == 20 and len(best & set(range(22))) == 20
+
+
+def test_only_needed_pairs_are_summed(spark):
+    rows, requests = _random_case(3)
+    table = rating_table(_events(spark, rows), ["ord"])
+    pairs = spark.createDataFrame(list(set(requests)), "user_id long, item_id long")
+    cand = cf.candidates(cf.known_requests(cf.classify_requests(pairs, table)), table)
+    needed = {(r.lo, r.hi) for r in cf.needed_pairs(cand).collect()}
+    summed = {(r.lo, r.hi) for r in cf.pair_sums(table, cf.needed_pairs(cand)).collect()}
+    assert summed and summed <= needed
+    assert needed == {(min(r.item_id, r.neighbor_id), max(r.item_id, r.neighbor_id)) for r in cand.collect()}
 
 
 def _ladder(spark, pairs_of_ratings, mean=3.0):
@@ -157,9 +167,8 @@ def test_row_range_is_global(spark):
     assert got == [(k, k + 1) for k in range(250, 260)]
 
 
-def test_long_lists_are_split(spark):
+def test_members_in_long_form(spark):
     table = rating_table(_events(spark, [(1, i, 3) for i in range(200)] + [(2, 1, 3), (2, 1, 4)]), ["ord"])
-    rows = group_to_list(table, "user_id", "item_id", chunk=50).collect()
-    assert len([r for r in rows if r.user_id == 1]) == 4
-    assert sorted(m for r in rows if r.user_id == 1 for m in r.members) == list(range(200))
-    assert [(r.chunk_no, r.members, r.copies) for r in rows if r.user_id == 2] == [(0, [1], [2])]
+    rows = group_members(table, "user_id", "item_id").collect()
+    assert sorted(r.item_id for r in rows if r.user_id == 1) == list(range(200))
+    assert [(r.item_id, r.copies) for r in rows if r.user_id == 2] == [(1, 2)]
