@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,10 +20,10 @@ from rateweave.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Small boosting settings, so that fitting does not dwarf the rest of a query.
 HEAVY = cf.CFOptions(heavy_user_items=15, pairs_per_split=200)
-QUICK_A = models.Boosting(trees=5, depth=4, feature_share=0.7, bins=64)
-QUICK_B = models.Boosting(trees=5, depth=5, feature_share=0.8, bins=64)
+#: Trees per model in the queries and the bench; all else is as in the full models.
+TREES = 5
+QUICK_A, QUICK_B = (replace(b, trees=TREES) for b in (models.MODEL_A, models.MODEL_B))
 
 
 def _r(name: str, digits: int = 6) -> Column:
@@ -50,7 +51,7 @@ def _pairs(i: Inputs) -> DataFrame:
 
 
 def sources(i: Inputs) -> features.Sources:
-    return features.Sources(i.users(), i.items(), i.reviews(), i.checkins(), i.lookup())
+    return features.Sources(i.users(), i.items(), i.reviews(), i.checkins(), i.lookup(), ORDER)
 
 
 def stored_sources(i: Inputs) -> features.Sources:

@@ -63,12 +63,15 @@ class Sources:
     items: DataFrame
     reviews: DataFrame
     checkins: DataFrame
-    lookup: DataFrame
+    #: Codes by name; without it, no user has one.
+    lookup: DataFrame | None = None
+    #: Review columns that order repeated reviews of a pair; the last one counts.
+    order: tuple[str, ...] = ("rated_on",)
 
 
 def store(s: Sources) -> Sources:
     """The sources with users and reviews parsed once; several steps read them."""
-    columns = ["user_id", "item_id", "stars", "rated_on"]
+    columns = dict.fromkeys(["user_id", "item_id", "stars", "rated_on", *s.order])
     users, reviews = together(
         lambda: materialize(s.users, "users"),
         lambda: materialize(s.reviews.select(*columns), "review-events"),
@@ -76,8 +79,10 @@ def store(s: Sources) -> Sources:
     return replace(s, users=users, reviews=reviews)
 
 
-def with_lookup_code(users: DataFrame, lookup: DataFrame) -> DataFrame:
+def with_lookup_code(users: DataFrame, lookup: DataFrame | None) -> DataFrame:
     """``users`` with ``lookup_code``: 1 for code F, 0 for M, null where the name is not listed."""
+    if lookup is None:
+        return users.withColumn("lookup_code", F.lit(None).cast("double"))
     code = F.when(F.col("code") == "F", F.lit(1.0)).when(F.col("code") == "M", F.lit(0.0))
     return (
         users.withColumn("lookup_key", F.lower("name"))
@@ -87,7 +92,7 @@ def with_lookup_code(users: DataFrame, lookup: DataFrame) -> DataFrame:
     )
 
 
-def user_profiles(users: DataFrame, lookup: DataFrame) -> DataFrame:
+def user_profiles(users: DataFrame, lookup: DataFrame | None) -> DataFrame:
     return with_lookup_code(users, lookup).select(
         "user_id", "average_stars", F.col("review_count").alias("user_review_count"),
         scalar.date_code(F.col("member_since")).alias("since_code"),

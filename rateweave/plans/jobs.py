@@ -33,8 +33,8 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--users-file", default="user.json")
     p.add_argument("--reviews-file", default="review_train.json")
     p.add_argument("--checkins-file", default="checkin.json")
-    p.add_argument("--lookup", help="JSON object from lower-cased name to F or M; default DATA/lookup.json")
-    p.add_argument("--since-field", default="member_since")
+    p.add_argument("--lookup", help="JSON object from lower-cased name to F or M; without it no name has a code")
+    p.add_argument("--since-field", default="member_since", help="sign-up date of the user file")
     p.add_argument("--trees", type=int, help="trees per model, instead of the models' own setting")
     p.add_argument("--max-depth", type=int, help="upper bound on the depth of either model")
     p.add_argument("--spaced-header", action="store_true")
@@ -54,12 +54,16 @@ def main(argv: Sequence[str] | None = None) -> None:
         raise SystemExit("predict needs --requests and --out")
     spark = build_session(f"rateweave-{args.job}")
     at = args.data.rstrip("/")
+    users = readers.read_users(spark, f"{at}/{args.users_file}", args.since_field)
+    if users.filter("member_since is not null").isEmpty():
+        raise SystemExit(f"no user has the field {args.since_field!r}; name the sign-up date with --since-field")
     sources = Sources(
-        users=readers.read_users(spark, f"{at}/{args.users_file}", args.since_field),
+        users=users,
         items=readers.read_items(spark, f"{at}/{args.items_file}"),
         reviews=readers.read_reviews(spark, f"{at}/{args.reviews_file}"),
         checkins=readers.read_checkins(spark, f"{at}/{args.checkins_file}"),
-        lookup=readers.read_lookup(spark, args.lookup or f"{at}/lookup.json"),
+        lookup=readers.read_lookup(spark, args.lookup) if args.lookup else None,
+        order=("rated_on", "file_order"),
     )
     validation = readers.read_ratings(spark, f"{at}/{args.val_file}", origin=1)
     names = [f"{args.models.rstrip('/')}/model_{tag}" for tag in ("a", "b")]
@@ -70,7 +74,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     ratings = [readers.read_ratings(spark, f"{at}/{args.train_file}", origin=0), validation]
     fitted = (models.load(names[0]), models.load(names[1]))
     requests = readers.read_requests(spark, args.requests)
-    result = predict(requests, ratings, ("origin",), sources, fitted)
+    result = predict(requests, ratings, ("origin", "file_order"), sources, fitted)
     sinks.write_predictions(result, args.out, args.spaced_header)
 
 

@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rateweave import schemas
 
 
+def file_order() -> Column:
+    """A column that orders rows as they stand in their files, and files by path."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
+def last_per_key(df: DataFrame, key: str) -> DataFrame:
+    """One row per key: the last in ``file_order``, which is dropped. The fold begins before the shuffle."""
+    rest = [c for c in df.columns if c not in (key, "file_order")]
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), "file_order").alias("_last")).select(key, "_last.*")
+
+
 def read_ratings(spark: SparkSession, path: str, origin: int = 0) -> DataFrame:
     """``user, item, stars`` by position under a header line.
 
-    ``origin`` says which file a row came from, so that a later file can win over an
-    earlier one when the same pair is rated twice.
+    ``origin`` says which file a row came from and ``file_order`` where in it, so that the later
+    rating can win when the same pair is rated twice.
     """
     return (
         spark.read.schema(schemas.RATINGS)
         .option("header", True).option("enforceSchema", True)
         .csv(path)
-        .withColumn("origin", F.lit(origin))
+        .select("*", F.lit(origin).alias("origin"), file_order().alias("file_order"))
     )
 
 
@@ -36,33 +50,33 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _json(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+    return spark.read.schema(schema).json(path).select("*", file_order().alias("file_order"))
+
+
 def read_items(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.ITEMS).json(path).withColumnRenamed("business_id", "item_id")
+    return last_per_key(_json(spark, schemas.ITEMS, path).withColumnRenamed("business_id", "item_id"), "item_id")
 
 
 def read_users(spark: SparkSession, path: str, since_field: str = "member_since") -> DataFrame:
-    return (
-        spark.read.schema(schemas.users(since_field)).json(path)
-        .withColumnRenamed(since_field, "member_since")
-    )
+    users = _json(spark, schemas.users(since_field), path).withColumnRenamed(since_field, "member_since")
+    return last_per_key(users, "user_id")
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     return (
-        spark.read.schema(schemas.REVIEWS).json(path)
+        _json(spark, schemas.REVIEWS, path)
         .withColumnRenamed("business_id", "item_id")
         .withColumnRenamed("date", "rated_on")
     )
 
 
 def read_checkins(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.CHECKINS).json(path).withColumnRenamed("business_id", "item_id")
+    return last_per_key(_json(spark, schemas.CHECKINS, path).withColumnRenamed("business_id", "item_id"), "item_id")
 
 
 def read_lookup(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """JSON objects ``{key: code}`` as a table with one row per key: one object per file, or with ``lines`` one per line."""
     as_map = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
-    return (
-        spark.read.text(path, wholetext=not lines)
-        .select(F.explode(as_map).alias("lookup_key", "code"))
-    )
+    rows = spark.read.text(path, wholetext=not lines).select("value", file_order().alias("file_order"))
+    return last_per_key(rows.select(F.explode(as_map).alias("lookup_key", "code"), "file_order"), "lookup_key")

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from rateweave.operators import evaluate, features, hybrid, models
+from rateweave.operators.ratings import rating_table, union_ratings
 from rateweave.plans import jobs, pipeline
 from rateweave.sources import readers, sinks
 
@@ -80,7 +81,7 @@ def test_spaced_header(spark, tmp_path):
 
 def test_train_and_predict(spark, folder, tmp_path):
     at, n_requests, truth = folder
-    common = ["--data", str(at), "--models", str(tmp_path / "models"), "--since-field", "joined"]
+    common = ["--data", str(at), "--models", str(tmp_path / "models"), "--since-field", "joined", "--lookup", f"{at}/lookup.json"]
     jobs.main(["train", *common, "--trees", "20", "--max-depth", "3"])
     out = str(tmp_path / "out")
     jobs.main(["predict", *common, "--requests", f"{at}/requests.csv", "--out", out])
@@ -99,6 +100,43 @@ def test_train_and_predict(spark, folder, tmp_path):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, second))
 
 
+def test_last_row_of_a_file_counts(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("user_id,business_id,stars\nu,b,5.0\nu,b,1.0\nu,c,2.0\nu,b,3.0\n")
+    (tmp_path / "v.csv").write_text("user_id,business_id,stars\nu,c,4.0\nu,c,3.0\n")
+    both = union_ratings(*(readers.read_ratings(spark, f"{tmp_path}/{n}.csv", k) for k, n in enumerate("rv")))
+    table = rating_table(both, ("origin", "file_order"))
+    assert {(r.item_id, r.stars, r.copies) for r in table.collect()} == {("b", 3.0, 3), ("c", 3.0, 3)}
+    (tmp_path / "u.json").write_text("".join(
+        json.dumps({"user_id": u, "average_stars": a, "friends": f, "joined": "2011-01-01"}) + "\n"
+        for u, a, f in [("u", 5.0, "v, w"), ("v", 2.0, "u"), ("u", 1.0, None)]
+    ))
+    users = readers.read_users(spark, f"{tmp_path}/u.json", "joined")
+    assert {(r.user_id, r.average_stars, r.friends) for r in users.collect()} == {("u", 1.0, None), ("v", 2.0, "u")}
+    (tmp_path / "l.json").write_text('{"ada": "F"}\n{"bob": "M", "ada": "M"}\n')
+    lookup = readers.read_lookup(spark, f"{tmp_path}/l.json", lines=True)
+    assert {tuple(r) for r in lookup.collect()} == {("ada", "M"), ("bob", "M")}
+
+
+def test_jobs_without_lookup_and_friends(spark, folder, tmp_path):
+    at = folder[0]
+    lonely = [json.loads(line) | {"friends": "None"} for line in open(f"{at}/user.json")]
+    (at / "lonely.json").write_text("".join(json.dumps(u) + "\n" for u in lonely + lonely[:3]))
+    common = ["--data", str(at), "--models", str(tmp_path / "m"), "--users-file", "lonely.json"]
+    with pytest.raises(SystemExit, match="since-field"):
+        jobs.main(["train", *common])
+    common += ["--since-field", "joined"]
+    jobs.main(["train", *common, "--trees", "2", "--max-depth", "2"])
+    jobs.main(["predict", *common, "--requests", f"{at}/requests.csv", "--out", str(tmp_path / "out")])
+    rows = spark.read.option("header", True).csv(str(tmp_path / "out")).count()
+    assert rows == folder[1]
+
+
+def test_open_means_are_weighted(spark):
+    frame = spark.createDataFrame([(1.0, None, 3.0), (0.0, None, 1.0), (None, None, 9.0)], "lookup_code double, friend_item_mean double, w double")
+    assert models.open_means(frame, "w") == {"lookup_code": 0.75, "friend_item_mean": 0.0}
+    assert models.open_means(frame)["lookup_code"] == 0.5
+
+
 def test_fits_repeat(spark, folder):
     at = folder[0]
     s = features.Sources(
