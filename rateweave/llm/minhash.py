@@ -10,9 +10,12 @@
 3. Star edges. Among the representatives that share a band's bucket, only pairs with the bucket's hub become
    candidates, so that a bucket of n gives n - 1 pairs. They are confirmed on their full sets, and the confirmed
    ones joined to classes.
-4. Rest. A bucket whose members are not all in one class afterwards gets 8, 64, 512 and so on hubs in turn, each
-   compared with the members of other classes, until all its members are one class or have been hubs. So every pair
-   that shares a bucket is either compared or linked through others: the star loses nothing.
+4. Rest. The star loses a link between two members that are both unlike the hub. So in buckets whose members are not
+   all in one class afterwards, members of different classes are compared by profiles, in blocks of ``BLOCK_ROWS`` at most: a
+   profile has a byte of checksum for the hashes of each bin. Bins that differ hold at least one hash that is in one
+   set only, and similar sets have few such hashes; pairs with more differing bins than that allows are out for certain. Only
+   the pairs that are left become rows, and are confirmed on their full sets. So every pair that shares a bucket is linked through others,
+   ruled out, or confirmed.
 
 Sets so small that no other set can be similar enough have no bands.
 
@@ -29,7 +32,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from rateweave.llm.common import slices
 from rateweave.llm.graph import components
@@ -38,7 +41,7 @@ from rateweave.session import materialize
 WORDS = 5
 ROWS, BANDS = 6, 40
 BINS = ROWS * BANDS
-FIRST_HUBS, MORE_HUBS = 1, 8
+BLOCK_ROWS = 256
 
 _rng = np.random.default_rng(20240229)
 WORD_FACTORS = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,13 +78,27 @@ def attempts(first: int, last: int) -> np.ndarray:
     return (mixed((bins << np.uint64(32)) + tries + np.uint64(1)) % np.uint64(BINS)).astype(np.int32)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """The smallest hash of each bin; empty bins borrow."""
+def bin_starts(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bins that have hashes, and where in the sorted hashes each begins."""
     bins = (((hashes >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)
     starts = np.flatnonzero(np.diff(bins, prepend=-1))
+    return bins[starts], starts
+
+
+def profile(hashes: np.ndarray) -> bytes:
+    """A byte for each bin, equal for bins with equal hashes."""
+    bins, starts = bin_starts(hashes)
+    out = np.zeros(BINS, np.uint8)
+    out[bins] = np.add.reduceat(mixed(hashes), starts).astype(np.uint8)
+    return out.tobytes()
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """The smallest hash of each bin; empty bins borrow."""
+    bins, starts = bin_starts(hashes)
     out, full = np.zeros(BINS, np.uint64), np.zeros(BINS, bool)
-    out[bins[starts]] = hashes[starts]
-    full[bins[starts]] = True
+    out[bins] = hashes[starts]
+    full[bins] = True
     empty, at, step = np.flatnonzero(~full), 0, 8
     while len(empty):
         tried = attempts(at, at + step)[empty]
@@ -100,25 +117,29 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, percent: int, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets) and bands of each document."""
+    """doc_id, n_shingles, set_key (equal for equal sets), bands and profile of each document."""
 
     def run(batches):
         for part in slices(batches):
-            sizes, keys, buckets = [], [], []
+            sizes, keys, buckets, profiles = [], [], [], []
             for body in part.column(1).to_pylist():
                 hashes = shingle_set(body, words)
                 n = len(hashes)
                 sizes.append(n)
                 keys.append(xxhash.xxh3_128_digest(hashes.tobytes()) if n else None)
                 # the most similar other set has one shingle more
-                buckets.append(bands(hashes) if n and 100 * n >= percent * (n + 1) else None)
+                some = n and 100 * n >= percent * (n + 1)
+                buckets.append(bands(hashes) if some else None)
+                profiles.append(profile(hashes) if some else None)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_key", "bands"],
+                [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
+                 pa.array(buckets, pa.list_(pa.int64())),
+                 pa.array(profiles, pa.binary())],
+                names=["doc_id", "n_shingles", "set_key", "bands", "profile"],
             )
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, set_key binary, bands array<long>"
+        run, "doc_id long, n_shingles long, set_key binary, bands array<long>, profile binary"
     )
 
 
@@ -154,7 +175,10 @@ def classes(docs: DataFrame, percent: int = 80, words: int = WORDS, doc_id: str
     signed = materialize(signatures(docs, percent, words), "signatures")
     sets_by_key = signed.where("set_key is not null and doc_id is not null").groupBy("set_key")
     firsts = materialize(
-        sets_by_key.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "representatives"
+        sets_by_key.agg(
+            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
+            F.first("profile").alias("profile"),
+        ), "representatives",
     )
     known = linked(docs, firsts, percent, words)
     named = firsts.join(known, "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component_id"))
@@ -167,49 +191,69 @@ def classes(docs: DataFrame, percent: int = 80, words: int = WORDS, doc_id: str
 
 def linked(docs: DataFrame, firsts: DataFrame, percent: int, words: int) -> DataFrame:
     """The root of each representative that is linked with a smaller one."""
-    spark = docs.sparkSession
     banded = firsts.where("bands is not null").select("rep", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     live = materialize(banded.join(shared, "bucket"), "buckets")
     needed = live.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialize(shingle_sets(docs.join(needed, "doc_id", "left_semi"), words).distinct(), "sets")
 
-    roots = spark.createDataFrame([], "rep long, root long")
-    tested: DataFrame | None = None
-    hubs, before = FIRST_HUBS, 0
-    while True:
-        members = live.where(F.col("members") > before).join(roots, "rep", "left")
-        members = members.select("bucket", "rep", "n", F.coalesce("root", "rep").alias("class"))
-        if before:
-            unsettled = members.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-            members = members.join(unsettled.where("low < high").select("bucket"), "bucket", "left_semi")
-            members = materialize(members, "unsettled")
-            if members.isEmpty():
-                return roots
-        # the limit on the rank reaches below the shuffle: a task sends at most that many rows of a bucket
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
-        chosen = members.withColumn("rank", rank).where(F.col("rank") <= hubs)
-        chosen = chosen.select("bucket", F.col("rep").alias("hub"), F.col("class").alias("hub_class"), F.col("n").alias("hub_n"))
-        pairs = (
-            members.join(chosen, "bucket").where(
-                (F.col("class") != F.col("hub_class"))
-                & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-            )
-            .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "candidates")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = materialize(confirmed(pairs, sets, percent), "links")
-        if not links.isEmpty():
-            root_of = {s: roots.select(F.col("rep").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab"}
-            between = links.join(root_of["a"], "a", "left").join(root_of["b"], "b", "left").select(
-                F.coalesce("root_a", "a").alias("u"), F.coalesce("root_b", "b").alias("v")
-            )
-            found = components(between)
-            moved = found.select(F.col("node").alias("root"), F.col("root").alias("new_root"))
-            old = roots.join(moved, "root", "left").select("rep", F.coalesce("new_root", "root").alias("root"))
-            # a node that was its own root has no row yet
-            roots = materialize(old.unionByName(found.select(F.col("node").alias("rep"), "root")), "roots")
-        before, hubs = hubs, hubs * MORE_HUBS
+    stars = live.groupBy("bucket").agg(F.min(F.struct(F.col("rep").alias("hub"), F.col("n").alias("hub_n"))).alias("h"))
+    pairs = (
+        live.join(stars.select("bucket", "h.*"), "bucket")
+        .where((F.col("rep") != F.col("hub")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
+        .select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    )
+    links = materialize(confirmed(pairs, sets, percent), "star-links")
+    roots = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
+
+    members = live.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("root", "rep"))
+    members = materialize(members.select("bucket", "rep", "class", "members"), "members")
+    unsettled = members.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    members = members.join(unsettled.select("bucket"), "bucket", "left_semi").join(firsts.select("rep", "n", "profile"), "rep")
+    left = materialize(confirmed(likely(members, percent).distinct(), sets, percent), "rest-links")
+    every = links.unionByName(left)
+    return components(every.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("rep"), "root")
+
+
+def likely(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket but different classes that their profiles don't rule out.
+
+    ``members`` has bucket, members (their number in the bucket), rep, class, n and profile. A bucket's members are dealt over
+    blocks by hash, and each two blocks meet in one place.
+    """
+    blocks = F.ceil(F.col("members") / F.lit(BLOCK_ROWS)).cast("long")
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "class", "n", "profile"
+    )
+    met = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def run(batches):
+        key, held = None, []
+        for part in slices(batches, 4096):
+            columns = part.to_pydict()
+            for row in zip(*(columns[c] for c in ("bucket", "i", "j", "block", "rep", "class", "n", "profile"))):
+                if row[:3] != key:
+                    yield from compared(key, held)
+                    key, held = row[:3], []
+                held.append(row[3:])
+        yield from compared(key, held)
+
+    def compared(key, rows):
+        if len(rows) < 2:
+            return
+        block, rep, root, n = (np.array([r[c] for r in rows], np.int64) for c in range(4))
+        profiles = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), BINS)
+        first, second = (np.flatnonzero(block == b) for b in key[1:])
+        found_a, found_b = [], []
+        for x in first:  # one row against the other block: little memory
+            others = second[(root[second] != root[x]) & ((rep[second] > rep[x]) | (key[1] != key[2]))]
+            differ = (profiles[others] != profiles[x]).sum(axis=1)
+            fine = others[(100 + percent) * differ <= (100 - percent) * (n[others] + n[x])]
+            found_a += [rep[x]] * len(fine)
+            found_b += rep[fine].tolist()
+        if found_a:
+            a, b = np.array(found_a), np.array(found_b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
