@@ -37,13 +37,14 @@ from rateweave.session import materialize
 SAMPLE_ROWS = 12_000
 HASH_BITS = 20
 SELECTED = 4096
-LEAST_ROWS = 3
+#: An n-gram is used if it is in so many toxic rows, at least and as a share of all of them.
+LEAST_ROWS, LEAST_SHARE = 3, 0.01
 NGRAMS = (4, 5)
 WORD = re.compile(r"[^\W\d_]+")
 #: Upper ends of the bands of the share of words with a telling n-gram; none at all has no band.
 SHARES = (0.01, 0.02, 0.03, 0.05, 0.1)
 DENSE_SHARE = 0.05
-L2 = 1e-3
+L2 = 1e-4
 STEPS = 600
 REMEMBERED_WORDS = 1 << 18
 
@@ -177,7 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         return Model([], np.zeros(len(SHARES) + 1), np.full(2, -700.0 if True in sizes else 700.0))
     # how much more often toxic rows hold the n-gram, weighted by how many do
     n0, n1 = (F.col("n0") + 0.5) / (sizes[False] + 1), (F.col("n1") + 0.5) / (sizes[True] + 1)
-    telling = feature_counts(sample).where((F.col("n1") >= LEAST_ROWS) & (n1 >= 8 * n0))
+    least = max(LEAST_ROWS, LEAST_SHARE * sizes[True])
+    telling = feature_counts(sample).where((F.col("n1") >= least) & (n1 >= 8 * n0))
     chosen = telling.orderBy((F.col("n1") * F.log(n1 / n0)).desc(), "feature").limit(SELECTED).select("feature")
     chosen = sorted(r[0] for r in chosen.collect())
     features = Features(chosen)
