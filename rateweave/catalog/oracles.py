@@ -465,4 +465,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT user_id, item_id, round(least(5.0, greatest(1.0,
                    CASE WHEN trusted THEN 0.2 * cf + 0.8 * model_score ELSE 0.1 * cf + 0.9 * model_score END)), 6) AS prediction
             FROM ({_STAND_IN})""", "cf", "mu", "user_stats", "item_stats"),
+        "hybrid_eval": q(f"""
+            SELECT count(*) AS n, round(sqrt(avg((v.stars - p.prediction) * (v.stars - p.prediction))), 6) AS rmse
+            FROM (SELECT user_id, item_id, least(5.0, greatest(1.0, CASE WHEN trusted THEN 0.2 * cf + 0.8 * model_score
+                         ELSE 0.1 * cf + 0.9 * model_score END)) AS prediction FROM ({_STAND_IN})) p
+            JOIN val v ON v.user_id = p.user_id AND v.item_id = p.item_id""",
+            "cf", "mu", "user_stats", "item_stats", "val", **_VALIDATING),
     }

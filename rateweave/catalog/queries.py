@@ -513,6 +513,21 @@ def hybrid_blend(spark: SparkSession, sf: str) -> DataFrame:
     return hybrid.hybrid_blend(*_stand_in(Inputs(spark, sf).store())).select(*PAIR, _r("prediction"))
 
 
+def hybrid_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """Error of the blend on the validation ratings, from the training period alone; means stand for model scores."""
+    i = Inputs(spark, sf).store()
+    table = materialize(_reviewed(i), "ratings")
+    val = materialize(i.val().select(*PAIR, F.col("stars").alias("label")), "validation")
+    pairs = materialize(val.select(*PAIR).distinct(), "asked")
+    mean = ratings.global_mean(table)
+    scores = cf.classify_requests(pairs, table).select(
+        *PAIR,
+        models.ensemble_mean(F.coalesce("user_mean", mean), F.coalesce("item_mean", mean)).alias("model_score"),
+    )
+    blended = hybrid.hybrid_blend(cf.cf_predict(pairs, table), scores)
+    return evaluate.rmse(val.join(blended, list(PAIR))).select("n", _r("rmse"))
+
+
 def hybrid_predict(spark: SparkSession, sf: str) -> DataFrame:
     """The whole job: fit both models, then predict every requested row."""
     i = Inputs(spark, sf).store()
@@ -533,7 +548,7 @@ def queries() -> dict[str, Query]:
         pcc_pairs, similarity_ladder, topk_neighbors, cf_confidence, cf_predict, blend_means,
         impute_mean, impute_opening, eval_rmse, eval_error_hist, union_ratings, feature_frame,
         training_frame, gbt_predict, model_roundtrip, tune_gbt, ensemble_mean, hybrid_blend,
-        hybrid_predict,
+        hybrid_predict, hybrid_eval,
     ]
     out: dict[str, Query] = {fn.__name__: fn for fn in plain}
     out["topk_neighbors_signed"] = partial(topk_neighbors, opts=cf.CFOptions(order="signed"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rateweave.functions import mode, scalar
 from rateweave.functions.impute import Rule, impute
-from rateweave.operators.ratings import PAIR, activity_counts
+from rateweave.operators.ratings import PAIR, activity_counts, union_ratings
 from rateweave.operators.social import friend_feature
 from rateweave.session import materialize, together
 
@@ -238,12 +238,13 @@ def feature_frame(pairs: DataFrame, s: Sources, t: FeatureTables, table: DataFra
     return fill_gaps(raw, constants(t), keep)
 
 
-def labelled_ratings(reviews: DataFrame, validation: DataFrame) -> DataFrame:
-    """Pairs with their rating as label, of the reviews and the validation ratings."""
-    first, second = (
-        part.select(*PAIR, F.col("stars").cast("double").alias("label")) for part in (reviews, validation)
-    )
-    return first.unionByName(second)
+def labelled_ratings(reviews: DataFrame, validation: DataFrame | None) -> DataFrame:
+    """Pairs with their rating as label, of the reviews and, if given, the validation ratings."""
+    parts = [
+        part.select(*PAIR, F.col("stars").cast("double").alias("label"))
+        for part in (reviews, validation) if part is not None
+    ]
+    return union_ratings(*parts)
 
 
 def training_frame(

@@ -2,6 +2,7 @@
 
     jobs.py train   --data DIR --models DIR
     jobs.py predict --data DIR --models DIR --requests FILE --out DIR
+    jobs.py evaluate --data DIR --models DIR --out DIR
 
 The data folder holds train.csv, val.csv, business.json, user.json, review_train.json and
 checkin.json; names, the lookup file and the name of the sign-up field can be given.
@@ -15,14 +16,15 @@ from dataclasses import replace
 
 from rateweave.operators import models
 from rateweave.operators.features import Sources
-from rateweave.plans.pipeline import predict, train_models
+from rateweave.operators.ratings import PAIR
+from rateweave.plans.pipeline import evaluate_predictions, predict, train_models
 from rateweave.session import build_session
 from rateweave.sources import readers, sinks
 
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description="Hybrid rating prediction")
-    p.add_argument("job", choices=["train", "predict"])
+    p.add_argument("job", choices=["train", "predict", "evaluate"])
     p.add_argument("--data", required=True)
     p.add_argument("--models", required=True)
     p.add_argument("--requests")
@@ -37,6 +39,8 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--since-field", default="member_since", help="sign-up date of the user file")
     p.add_argument("--trees", type=int, help="trees per model, instead of the models' own setting")
     p.add_argument("--max-depth", type=int, help="upper bound on the depth of either model")
+    p.add_argument("--labels", help="ratings that evaluate compares with; default the validation file")
+    p.add_argument("--train-only", action="store_true", help="leave the validation ratings out of fit and neighbours")
     p.add_argument("--spaced-header", action="store_true")
     return p
 
@@ -52,6 +56,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     args = _parser().parse_args(argv)
     if args.job == "predict" and not (args.requests and args.out):
         raise SystemExit("predict needs --requests and --out")
+    if args.job == "evaluate" and not args.out:
+        raise SystemExit("evaluate needs --out")
     spark = build_session(f"rateweave-{args.job}")
     at = args.data.rstrip("/")
     users = readers.read_users(spark, f"{at}/{args.users_file}", args.since_field)
@@ -65,17 +71,24 @@ def main(argv: Sequence[str] | None = None) -> None:
         lookup=readers.read_lookup(spark, args.lookup) if args.lookup else None,
         order=("rated_on", "file_order"),
     )
-    validation = readers.read_ratings(spark, f"{at}/{args.val_file}", origin=1)
+    known = readers.read_ratings(spark, f"{at}/{args.val_file}", origin=1)
+    validation = None if args.train_only else known
     names = [f"{args.models.rstrip('/')}/model_{tag}" for tag in ("a", "b")]
     if args.job == "train":
         for model, path in zip(train_models(sources, validation, _settings(args)), names):
             models.save(model, path)
         return
-    ratings = [readers.read_ratings(spark, f"{at}/{args.train_file}", origin=0), validation]
+    ratings = [readers.read_ratings(spark, f"{at}/{args.train_file}", origin=0)]
+    ratings += [] if args.train_only else [known]
     fitted = (models.load(names[0]), models.load(names[1]))
-    requests = readers.read_requests(spark, args.requests)
+    labels = readers.read_ratings(spark, args.labels) if args.labels else known
+    requests = readers.read_requests(spark, args.requests) if args.job == "predict" else labels.select(*PAIR)
     result = predict(requests, ratings, ("origin", "file_order"), sources, fitted)
-    sinks.write_predictions(result, args.out, args.spaced_header)
+    if args.job == "predict":
+        sinks.write_predictions(result, args.out, args.spaced_header)
+        return
+    for name, table in zip(("error", "histogram"), evaluate_predictions(result, labels)):
+        table.write.mode("overwrite").option("header", True).csv(f"{args.out.rstrip('/')}/{name}")
 
 
 if __name__ == "__main__":

@@ -131,6 +131,21 @@ def test_jobs_without_lookup_and_friends(spark, folder, tmp_path):
     assert rows == folder[1]
 
 
+def test_evaluate_without_validation_ratings(spark, folder, tmp_path):
+    at, _, truth = folder
+    common = ["--data", str(at), "--models", str(tmp_path / "m"), "--since-field", "joined", "--train-only"]
+    jobs.main(["train", *common, "--trees", "20", "--max-depth", "3"])
+    jobs.main(["evaluate", *common, "--out", str(tmp_path / "out")])
+    error = spark.read.option("header", True).csv(str(tmp_path / "out" / "error")).first()
+    mean = sum(truth.values()) / len(truth)
+    spread = (sum((y - mean) ** 2 for y in truth.values()) / len(truth)) ** 0.5
+    assert int(error.n) == len(truth) and float(error.rmse) < 0.9 * spread
+    buckets = spark.read.option("header", True).csv(str(tmp_path / "out" / "histogram")).collect()
+    assert sum(int(r.n) for r in buckets) == len(truth)
+    with pytest.raises(SystemExit):
+        jobs.main(["evaluate", *common])
+
+
 def test_open_means_are_weighted(spark):
     frame = spark.createDataFrame([(1.0, None, 3.0), (0.0, None, 1.0), (None, None, 9.0)], "lookup_code double, friend_item_mean double, w double")
     assert models.open_means(frame, "w") == {"lookup_code": 0.75, "friend_item_mean": 0.0}
