@@ -1,6 +1,8 @@
 """A training-data pipeline: toxic documents and poor ones go, one of each near-duplicate group stays, sources are mixed, texts are encoded.
 
-Each stage takes the documents that its predecessor kept, and all but the last return the columns of ``documents``.
+Each stage takes the documents that its predecessor kept, and all but the last return the columns of ``documents``; further
+columns come along, whatever their names. Nulls, empty and long texts, repeated rows and empty tables are handled as the
+operators' docstrings say.
 """
 
 from __future__ import annotations
@@ -15,16 +17,27 @@ from rateweave.llm.common import table
 from rateweave.session import materialize
 
 
+def aside(docs: DataFrame, outputs: list[tuple]) -> DataFrame:
+    """``docs`` with columns that have the name of an operator's output renamed, so that they survive it."""
+    taken = {name for name, *_ in outputs} | {"rejected"}
+    return docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c.lower() in taken})
+
+
+def back(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` under their own names."""
+    return df.select(*(F.col(f"_own_{c}" if f"_own_{c}" in df.columns else c).alias(c) for c in docs.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity is below the limit. Labels without a document in ``docs`` teach nothing."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    return toxicity.rated(docs, labels).where(~F.col("rejected")).select(*docs.columns)
+    return back(toxicity.rated(aside(docs, toxicity.FIELDS), labels).where(~F.col("rejected")), docs)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without the lines that failed."""
-    cleaned = quality.clean(docs).where("kept").withColumn("text", F.col("clean_text"))
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cleaned = quality.clean(aside(docs, quality.FIELDS)).where("kept").withColumn("text", F.col("clean_text"))
+    return back(cleaned.withColumn("n_chars", F.length("text").cast("long")), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +53,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in its order of blocks; a document is repeated as often as it is passed, none is left out."""
     mixed = mixing.mix(docs, entropy_share=0.95, max_repeats=2.0)
-    times = mixed.groupBy("doc_id", "text_key", "source").agg(F.count("*").alias("times"))
+    times = mixed.groupBy("doc_id", "text_key", "source").agg(F.count("*").alias("_times"))
     same = (
         docs["doc_id"].eqNullSafe(times["doc_id"]) & docs["source"].eqNullSafe(times["source"])
         & (mixing.text_key(docs["text"]) == times["text_key"])
     )
-    return docs.join(times, same).withColumn("copy", F.explode(F.expr("sequence(1L, times)"))).select(*(docs[c] for c in docs.columns))
+    copies = F.explode(F.expr("sequence(1L, _times)")).alias("_copy")
+    return docs.join(times, same).select(*(docs[c] for c in docs.columns), copies).drop("_copy")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

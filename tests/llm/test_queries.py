@@ -101,6 +101,17 @@ def test_stages_take_nulls_and_empty_tables(spark, stage):
     assert step(spark, spark.createDataFrame([], schema), DATA).count() == 0
 
 
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_keep_columns_with_clashing_names(spark, stage):
+    names = ["kept", "severity", "rejected", "clean_text", "times", "copy", "bucket", "pass", "weight", "label", "class", "place", "tokens"]
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(70)) + ".", "en", f"s{k % 2}", 1, *[f"{n}{k}" for n in names]) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    out = corpus_pipeline.STAGES[stage][1](spark, docs, DATA)
+    assert out.columns == docs.columns
+    got = {tuple(r[5:]) for r in out.collect()}
+    assert got == {tuple(r[5:]) for r in rows}
+
+
 def test_near_duplicate_stage_keeps_one_of_repeated_rows(spark):
     schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
     words = " ".join(f"word{k}" for k in range(80))
