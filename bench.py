@@ -1,6 +1,7 @@
 """Time the headline queries; prints one JSON line.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1) names the data, BENCH_CPUS the local cores.
+BENCH_SF_DIR (default /root/testdata/sf0.1) names the data, BENCH_CPUS the local cores, BENCH_SHARED_DIR the folder
+for tables that are written on the way (default a new temporary one).
 Each query is built and run in full, with its result aggregated or discarded on the
 executors. ``hybrid_score`` is the published end-to-end figure's counterpart: collaborative
 filtering, features, scoring with two fitted models and blending for all requests.
@@ -11,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -36,6 +38,7 @@ def main() -> None:
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="rateweave-bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
