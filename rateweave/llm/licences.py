@@ -51,7 +51,7 @@ def template_bigrams(text: str) -> list[str]:
 
 
 def bigrams(text: Column) -> Column:
-    words = F.filter(F.split(F.regexp_replace(lower_ascii(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    words = F.split(F.trim(F.regexp_replace(lower_ascii(text), "[^a-z0-9]+", " ")), " ")
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b)))
 
 
