@@ -77,8 +77,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence notices in all documents."""
-    return licences.scan(table(spark, sf_dir, "documents"))
+    """Licence notices in all documents, also wrapped ones and those within longer lines."""
+    return licences.notices(table(spark, sf_dir, "documents"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,24 @@
 """Licence notices, found by the Dice coefficient over word bigrams.
 
-Each line of a document, and the whole document if it has several lines (line -1), is compared with the
+``scan`` judges lines and whole documents, ``passages`` what stands within or across them; ``notices`` is both.
+
+Lines. Each line of a document, and the whole document if it has several lines (line -1), is compared with the
 licence templates. Text is normalised first: A-Z become a-z, and everything but a-z and 0-9 divides words. With A and B the
 distinct bigrams of a unit and of a template, Dice is 2 |A and B| / (|A| + |B|). A template can only reach the threshold t if
 t / (2 - t) <= |A| / |B| <= (2 - t) / t: templates outside these bounds are pruned before anything is compared, and so are
 units that share no bigram with any template.
 
+Passages. Each run of as many words as a template has (or up to the document's end) that begins with a bigram of the template is
+compared with it, wherever lines end; a run that reaches the threshold can be moved on to such a beginning without losing a shared
+bigram. Runs are only made for a template if the document shares as many bigrams with it as the threshold takes, and only where as many
+of them lie close enough. Of overlapping runs of one template the best counts, of equal ones the first. A passage is left out if ``scan``
+has it already: if it is part of a line found for the same licence, or touches a line or lies in a document found for the same template.
+Passages are also compared with ``FULL_TEXTS``: whole texts of the short licences, and the openings that files of the long ones
+begin with (a long text without its opening is not looked for).
+
+A unit or run that reaches the threshold shares at least t / (2 - t) of a template's bigrams, so it holds one of any choice of slightly
+more than the rest of them. The choice is those of the longest words; documents without any of it are passed over.
+
 Templates are a parameter of at most ``MAX_TEMPLATES``; their bigrams are literals of the expression. Everything is row by row, with no shuffle.
 
 Defined results: null and empty texts and units with fewer than two words match nothing. A unit that reaches the threshold with
@@ -19,6 +32,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rateweave.llm.common import lower_ascii
+from rateweave.llm.licence_texts import FULL_TEXTS
 
 THRESHOLD_PERCENT = 70
 MAX_TEMPLATES = 200
@@ -55,26 +69,51 @@ def bigrams(text: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b)))
 
 
+def checked(templates: tuple[tuple[str, str], ...]) -> list[tuple[int, str, list[str]]]:
+    """Number, licence and bigrams of the templates that have any."""
+    if len(templates) > MAX_TEMPLATES:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates")
+    known = [(i, name, template_bigrams(body)) for i, (name, body) in enumerate(templates)]
+    return [t for t in known if t[2]]
+
+
+def least_shared(n: int, percent: int) -> int:
+    """The fewest bigrams that a unit shares with a template of ``n`` bigrams if it reaches the threshold."""
+    return -(-percent * n // (200 - percent))
+
+
+def telling(known: list[tuple[int, str, list[str]]], percent: int) -> list[str]:
+    """Bigrams of which every match of any template holds one."""
+    return sorted({b for _, _, own in known for b in sorted(own, key=lambda b: (-len(b), b))[: len(own) - least_shared(len(own), percent) + 1]})
+
+
+def with_pairs(docs: DataFrame, known: list[tuple[int, str, list[str]]], percent: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text and pairs (all bigrams in order) of the documents that can match anything."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
+    rows = rows.withColumn("words", F.split(F.trim(F.regexp_replace(lower_ascii(F.col("text")), "[^a-z0-9]+", " ")), " "))
+    rest = F.slice("words", 2, F.size("words"))
+    # the pair of the last word is null
+    rows = rows.withColumn("pairs", F.zip_with("words", rest, lambda a, b: F.concat(a, F.lit(" "), b)))
+    return rows.where(F.exists("pairs", lambda b: F.coalesce(b.isin(telling(known, percent)), F.lit(False)))).drop("words")
+
+
 def scan(
     docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = THRESHOLD_PERCENT,
     doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """doc_id, line_no (from 0; -1 for the whole document), licence, template (its number), shared and dice of each match."""
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
-    known = [(i, name, template_bigrams(body)) for i, (name, body) in enumerate(templates)]
-    known = [t for t in known if t[2]]
+    known = checked(templates)
     listed = F.array(*(
         F.struct(F.lit(i).alias("no"), F.lit(name).alias("name"), F.array(*map(F.lit, own)).alias("own")) for i, name, own in known
     ))
     every = F.array(*map(F.lit, sorted({b for t in known for b in t[2]})))
     fewest = min(-(-percent * len(own) // (200 - percent)) for _, _, own in known)
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = with_pairs(docs, known, percent, doc_id, text)
     lines = F.split("text", "\n")
     units = F.transform(lines, lambda line, i: F.struct(i.cast("int").alias("line_no"), line.alias("unit")))
     whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("line_no"), F.col("text").alias("unit")))).otherwise(F.array())
-    rows = rows.where("text is not null").select("doc_id", F.explode(F.concat(units, whole)).alias("u")).select("doc_id", "u.*")
+    rows = rows.select("doc_id", F.explode(F.concat(units, whole)).alias("u")).select("doc_id", "u.*")
     rows = rows.withColumn("own", bigrams(F.col("unit"))).where((F.size("own") >= fewest) & F.arrays_overlap("own", every))
     n = F.size("own")
     fitting = F.filter(listed, lambda t: (percent * F.size(t["own"]) <= (200 - percent) * n) & (percent * n <= (200 - percent) * F.size(t["own"])))
@@ -84,3 +123,88 @@ def scan(
     ))
     found = rows.select("doc_id", "line_no", F.explode(F.filter(compared, lambda m: 200 * m["shared"] >= percent * m["both"])).alias("m"))
     return found.select("doc_id", "line_no", "m.licence", "m.template", "m.shared", (2 * F.col("m.shared") / F.col("m.both")).alias("dice"))
+
+
+def passages(
+    docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = THRESHOLD_PERCENT,
+    doc_id: str = "doc_id", text: str = "text", full: tuple[tuple[str, str], ...] = FULL_TEXTS,
+) -> DataFrame:
+    """The columns of ``scan`` for each passage that it doesn't find; line_no is the line the passage begins in.
+
+    The templates of ``full`` are numbered after ``templates``.
+    """
+    known = checked(templates + full)
+    lengths = {i: len(re.findall("[a-z0-9]+", body.lower())) for i, (_, body) in enumerate(templates + full)}
+    by_line = [t for t in known if t[0] < len(templates)]
+
+    def listing(some):
+        return F.array(*(
+            F.struct(
+                F.lit(i).alias("no"), F.lit(name).alias("name"), F.lit(lengths[i]).alias("long"), F.lit(least_shared(len(own), percent)).alias("least"),
+                F.array(*map(F.lit, own)).alias("own"),
+            ) for i, name, own in some
+        ))
+
+    every = sorted({b for t in known for b in t[2]})
+    rows = with_pairs(docs, known, percent, doc_id, text)
+    hits = F.filter(F.transform("pairs", lambda b, i: F.struct(i.alias("at"), b.alias("pair"))), lambda h: h["pair"].isin(every))
+    rows = rows.withColumn("hits", hits).withColumn("seen", F.array_distinct(F.col("hits.pair")))
+    fitting = F.filter(listing(known), lambda t: F.size(F.array_intersect("seen", t["own"])) >= t["least"])
+    rows = rows.select("doc_id", "text", "pairs", "hits", F.explode(fitting).alias("t")).select("doc_id", "text", "pairs", "hits", "t.*")
+    held = F.filter("hits", lambda h: F.array_contains("own", h["pair"]))
+    rows = rows.withColumn("held", F.transform(held, lambda h: h["at"])).drop("hits")
+    starts = F.filter("held", lambda at, i: F.coalesce(F.get("held", i + F.col("least") - 1) <= at + F.col("long") - 2, F.lit(False)))
+    rows = rows.withColumn("starts", starts).where(F.size("starts") > 0)
+
+    # a run that ends with the document has a null for the pair of the last word
+    runs = F.transform("starts", lambda at: F.struct(
+        at.alias("at"), F.array_distinct(F.array_compact(F.slice("pairs", at + 1, F.col("long") - 1))).alias("run")
+    ))
+    sized = F.transform(runs, lambda r: F.struct(
+        r["at"].alias("at"), F.size(F.array_intersect(r["run"], "own")).alias("shared"), (F.size(r["run"]) + F.size("own")).alias("both")
+    ))
+    good = F.filter(sized, lambda r: 200 * r["shared"] >= percent * r["both"])
+    ranked = F.array_sort(F.transform(good, lambda r: F.struct((-2 * r["shared"] / r["both"]).alias("lack"), r["at"].alias("at"), r["shared"].alias("shared"), r["both"].alias("both"))))
+    rows = rows.withColumn("ranked", ranked).where(F.size("ranked") > 0)
+    best = F.aggregate("ranked", F.slice("ranked", 1, 0), lambda taken, r: F.when(
+        F.exists(taken, lambda k: F.abs(k["at"] - r["at"]) < F.col("long")), taken
+    ).otherwise(F.concat(taken, F.array(r))))
+    rows = rows.withColumn("lines", F.split("text", "\n")).withColumn("sizes", F.transform("lines", word_count))
+    found = rows.select("*", F.explode(best).alias("r"))
+    last = F.least(F.col("r.at") + F.col("long"), F.size("pairs")) - 1
+    found = found.withColumn("first_line", line_of(F.col("r.at"))).withColumn("last_line", line_of(last))
+    found = found.withColumn("units", F.transform(F.slice("lines", F.col("first_line") + 1, F.col("last_line") - F.col("first_line") + 1), bigrams))
+
+    def reaches(unit, own):
+        return 200 * F.size(F.array_intersect(unit, own)) >= percent * (F.size(unit) + F.size(own))
+
+    inside = F.col("first_line") == F.col("last_line")
+    near = F.filter(listing(by_line), lambda t: (t["no"] == F.col("no")) | (inside & (t["name"] == F.col("name"))))
+    by_scan = F.exists(near, lambda t: F.exists("units", lambda u: reaches(u, t["own"])))
+    by_scan = by_scan | ((F.col("no") < len(templates)) & reaches(F.array_distinct(F.array_compact("pairs")), F.col("own")))
+    return found.where(~by_scan).select(
+        "doc_id", F.col("first_line").alias("line_no"), F.col("name").alias("licence"), F.col("no").alias("template"), "r.shared",
+        (2 * F.col("r.shared") / F.col("r.both")).alias("dice"),
+    )
+
+
+def word_count(line: Column) -> Column:
+    plain = F.trim(F.regexp_replace(lower_ascii(line), "[^a-z0-9]+", " "))
+    return F.when(F.length(plain) > 0, F.size(F.split(plain, " "))).otherwise(0)
+
+
+def line_of(word: Column) -> Column:
+    """The number of the line that holds a word, from the lines' ``sizes``."""
+    start = F.struct(F.lit(0).alias("before"), F.lit(0).alias("line"), F.lit(False).alias("over"))
+    reached = F.aggregate("sizes", start, lambda a, n: F.when(a["over"] | (a["before"] + n > word), F.struct(
+        a["before"].alias("before"), a["line"].alias("line"), F.lit(True).alias("over")
+    )).otherwise(F.struct((a["before"] + n).alias("before"), (a["line"] + 1).alias("line"), F.lit(False).alias("over"))))
+    return reached["line"]
+
+
+def notices(
+    docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = THRESHOLD_PERCENT,
+    doc_id: str = "doc_id", text: str = "text", full: tuple[tuple[str, str], ...] = FULL_TEXTS,
+) -> DataFrame:
+    """``scan`` and ``passages``."""
+    return scan(docs, templates, percent, doc_id, text).unionByName(passages(docs, templates, percent, doc_id, text, full))
