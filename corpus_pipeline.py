@@ -43,11 +43,20 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five words, similarity of 0.8): that with the smallest id.
 
-    Rows that repeat an id and a text are one document.
+    Rows that repeat an id and a text are one document, whatever their other columns; different texts under one id are documents of their
+    own, by the order of their md5.
     """
-    classes = minhash.classes(docs, percent=80)
-    gone = classes.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(mixing.text_key(F.col("text"))).alias("low"), F.max(mixing.text_key(F.col("text"))).alias("high"))
+    rows = docs.dropDuplicates(["doc_id", "text"])
+    if texts.where("low < high").isEmpty():
+        gone = minhash.classes(docs, percent=80).where("not kept").select("doc_id").distinct()
+        return rows.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # numbers in the order of ids and texts take the place of ids
+    order = ("doc_id", mixing.text_key(F.col("text")))
+    number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    rows = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_number", number), "numbered")
+    gone = minhash.classes(rows, percent=80, doc_id="_number").where("not kept").select(F.col("doc_id").alias("_number"))
+    return rows.join(gone, "_number", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
