@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rateweave.llm import bpe, minhash, mixing, quality, toxicity
 from rateweave.llm.catalog import VOCABULARY
@@ -60,15 +60,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in its order of blocks; a document is repeated as often as it is passed, none is left out."""
+    """The mix in its order of blocks; a document is repeated as often as it is passed, none is left out.
+
+    Partitions are ranges of (block, place), each sorted. Identical rows are as many documents, each with passes of its own.
+    """
     mixed = mixing.mix(docs, entropy_share=0.95, max_repeats=2.0)
-    times = mixed.groupBy("doc_id", "text_key", "source").agg(F.count("*").alias("_times"))
-    same = (
-        docs["doc_id"].eqNullSafe(times["doc_id"]) & docs["source"].eqNullSafe(times["source"])
-        & (mixing.text_key(docs["text"]) == times["text_key"])
+    mixed = mixed.select(
+        _identity("doc_id", "source", F.col("text_key")), F.col("pass").alias("_pass"), F.col("block").alias("_block"), F.col("place").alias("_place")
     )
-    copies = F.explode(F.expr("sequence(1L, _times)")).alias("_copy")
-    return docs.join(times, same).select(*(docs[c] for c in docs.columns), copies).drop("_copy")
+    mixed = mixed.withColumn("_copy", F.row_number().over(Window.partitionBy("_key", "_pass").orderBy("_block", "_place")))
+    own = docs.withColumn("_key", _identity("doc_id", "source", mixing.text_key(F.col("text"))))
+    own = own.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+    placed = own.join(mixed, ["_key", "_copy"]).repartitionByRange("_block", "_place").sortWithinPartitions("_block", "_place", "_copy")
+    return placed.select(*docs.columns)
+
+
+def _identity(doc_id: str, source: str, text_key: Column) -> Column:
+    """What the mix knows a document by; nulls are left out of the JSON, so that they equal no text."""
+    key = F.struct(F.col(doc_id).cast("long").alias("i"), F.col(source).cast("string").alias("s"), text_key.alias("t"))
+    return F.md5(F.to_json(key).cast("binary")).alias("_key")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
