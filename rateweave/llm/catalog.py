@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rateweave.llm import (
-    ann, bpe, licences, minhash, mixing, oracles, quality, token_files, toxicity, url_filter, warc,
+    ann, bpe, licences, line_dedup, merkle, minhash, mixing, oracles, quality, ranked_search, token_files, toxicity, url_filter, warc,
 )
 from rateweave.llm.common import table
 from rateweave.session import materialize
@@ -95,11 +95,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rated(docs, labels).drop("text")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 highest-scoring documents of every benchmark item, among all documents."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that they share with others."""
+    cut = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A proof for every document, and whether it holds for what is left of the document after some have lost their line ends."""
+    changed = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    cut = F.when(changed, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle.verified(table(spark, sf_dir, "documents"), merkle.leaf_digest(text=cut))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     named = (
         op1_bpe, op2_minhash, op3_token_files, op4_mix, op5_warc, op6_ann, op7_url_filter, op8_licences, op9_quality, op10_toxicity,
+        op11_ranked_search, op12_line_dedup, op13_merkle,
     )
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 

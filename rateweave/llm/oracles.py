@@ -184,6 +184,110 @@ failed AS (SELECT *, n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_re
 SELECT *, NOT base_failed AND n_lost_words <= {r.max_lost} * n_words AS kept FROM failed
 """
 
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def op11_ranked_search() -> str:
+    found = f"unnest(regexp_extract_all({lower_ascii('text')}, '{TERM}')) AS term"
+    return f"""
+WITH doc_terms AS (SELECT rid, doc_id, {found} FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)),
+tf AS (SELECT rid, doc_id, term, count(*) AS tf FROM doc_terms GROUP BY ALL),
+lengths AS (SELECT rid, count(*) AS n FROM doc_terms GROUP BY rid),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM lengths),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, totals GROUP BY term, docs),
+asked AS (SELECT DISTINCT item_id, {found} FROM benchmark WHERE item_id IS NOT NULL),
+scores AS (
+  SELECT a.item_id, t.doc_id, sum(w * ((1000000000 * t.tf) // (1000 * t.tf + 20 * (100 - 50 + (50 * l.n * z.docs) // z.total))))::BIGINT AS score
+  FROM asked a JOIN tf t USING (term) JOIN weights USING (term) JOIN lengths l USING (rid), totals z
+  WHERE t.doc_id IS NOT NULL GROUP BY a.item_id, t.rid, t.doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+def op12_line_dedup() -> str:
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH lines AS (
+  SELECT rid, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i
+  FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+),
+keyed AS (SELECT *, {lower_ascii(f"trim(line, {blanks})")} AS line_key FROM lines),
+common AS (
+  SELECT line_key, max(doc_id) AS last_doc FROM keyed WHERE length(line_key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3
+),
+judged AS (
+  SELECT k.*, coalesce(c.line_key IS NOT NULL AND k.doc_id <> c.last_doc, false) AS gone FROM keyed k LEFT JOIN common c USING (line_key)
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY rid
+"""
+
+
+def op13_merkle() -> str:
+    """Trees as lists of nodes that shrink to a third; crc32 from its table of 256 remainders."""
+
+    def leaf(text: str) -> str:
+        fields = ("doc_id", "source", "lang", "n_chars", text)
+        parts = (f"coalesce(strlen(({f})::VARCHAR) || ':' || ({f})::VARCHAR, '-')" for f in fields)
+        return f"sha256({' || '.join(parts)})"
+
+    def grown(name: str, key: str) -> str:
+        """Each tree's nodes by level, until one remains."""
+        return f"""
+{name} AS (
+  SELECT {key}, 0 AS level, nodes FROM {name}_leaves
+  UNION ALL
+  SELECT {key}, level + 1, list_transform(range(0, (len(nodes) + 2) // 3), lambda k: sha256(array_to_string(nodes[3 * k + 1:3 * k + 3], '')))
+  FROM {name} WHERE len(nodes) > 1
+)"""
+
+    def path(rank: str, name: str, key: str) -> str:
+        """``before|after`` of each level, from the leaf up."""
+        return f"""
+SELECT l.{key}, l.{rank}, list(
+  array_to_string(t.nodes[3 * (l.{rank} // (3 ** t.level)::BIGINT // 3) + 1:(l.{rank} // (3 ** t.level)::BIGINT)], '') || '|' ||
+  array_to_string(t.nodes[(l.{rank} // (3 ** t.level)::BIGINT) + 2:3 * (l.{rank} // (3 ** t.level)::BIGINT // 3) + 3], '') ORDER BY t.level
+) FILTER (len(t.nodes) > 1) AS path
+FROM {name}_ranked l JOIN {name} t ON l.{key} IS NOT DISTINCT FROM t.{key} GROUP BY 1, 2"""
+
+    cut = leaf("replace(text, chr(10), '')")
+    return f"""
+WITH RECURSIVE remainders(n, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL
+  SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM remainders WHERE k < 8
+),
+crc AS (SELECT list(c ORDER BY n) AS t FROM remainders WHERE k = 8),
+tree_ranked AS (
+  SELECT doc_id, source, {leaf('text')} AS leaf, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, {leaf('text')}) - 1 AS rank,
+    CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) & 1 = 0 THEN {cut} ELSE {leaf('text')} END AS claimed
+  FROM documents, crc
+),
+tree_leaves AS (SELECT source, list(leaf ORDER BY rank) AS nodes FROM tree_ranked GROUP BY source),
+{grown('tree', 'source')},
+subroots AS (SELECT source, nodes[1] AS subroot FROM tree WHERE len(nodes) = 1),
+top_ranked AS (SELECT 1 AS one, source, subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM subroots),
+top_leaves AS (SELECT 1 AS one, list(subroot ORDER BY place) AS nodes FROM top_ranked),
+{grown('top', 'one')},
+root AS (SELECT nodes[1] AS root FROM top WHERE len(nodes) = 1),
+paths AS ({path('rank', 'tree', 'source')}),
+top_paths AS ({path('place', 'top', 'one')}),
+proofs AS (
+  SELECT l.doc_id, l.leaf, l.claimed, s.subroot, r.root, list_concat(coalesce(p.path, []), coalesce(u.path, [])) AS path
+  FROM tree_ranked l JOIN paths p ON l.source IS NOT DISTINCT FROM p.source AND l.rank = p.rank
+  JOIN top_ranked s ON l.source IS NOT DISTINCT FROM s.source JOIN top_paths u ON u.place = s.place, root r
+),
+folded AS (
+  SELECT *, list_reduce(list_prepend(claimed, path), lambda node, p: sha256(replace(p, '|', node))) AS folded_root FROM proofs
+)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM folded
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {f.__name__: f() for f in (op2_minhash, op5_warc, op7_url_filter, op8_licences, op9_quality)}
+    return {f.__name__: f() for f in (op2_minhash, op5_warc, op7_url_filter, op8_licences, op9_quality, op11_ranked_search, op12_line_dedup, op13_merkle)}

@@ -20,7 +20,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables a
 @pytest.fixture(scope="module")
 def duck():
     db = duckdb.connect()
-    for name in ("documents", "pages", "embeddings", "labels"):
+    for name in ("documents", "pages", "embeddings", "labels", "benchmark"):
         db.execute(f"create view {name} as select * from '{DATA}/{name}.parquet'")
     return db
 
@@ -40,7 +40,7 @@ def test_like_the_twin(spark, duck, name):
 def test_all_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
 
 
