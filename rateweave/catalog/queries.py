@@ -20,7 +20,7 @@ from rateweave.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-HEAVY = cf.CFOptions(heavy_user_items=15, pairs_per_split=200)
+DEALT = cf.CFOptions(pairs_per_split=200)
 #: Trees per model in the queries and the bench; all else is as in the full models.
 TREES = 5
 QUICK_A, QUICK_B = (replace(b, trees=TREES) for b in (models.MODEL_A, models.MODEL_B))
@@ -64,7 +64,7 @@ def stored_sources(i: Inputs) -> features.Sources:
 def scan_ratings(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "ratings-csv")
     Inputs(spark, sf).train().select(*PAIR, "stars").write.option("header", True).csv(path)
-    return readers.read_ratings(spark, path).drop("origin")
+    return readers.read_ratings(spark, path).drop("origin", "file_order")
 
 
 def scan_requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -553,8 +553,8 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {fn.__name__: fn for fn in plain}
     out["topk_neighbors_signed"] = partial(topk_neighbors, opts=cf.CFOptions(order="signed"))
     out["topk_neighbors_abs"] = partial(topk_neighbors, opts=cf.CFOptions(order="abs"))
-    # limits that send most users the way of heavy ones, and deal most users' candidates over splits
-    out["topk_neighbors_heavy"] = partial(topk_neighbors, opts=HEAVY)
-    out["cf_predict_heavy"] = partial(cf_predict, opts=HEAVY)
+    # a limit that deals most users' candidates over splits
+    out["topk_neighbors_heavy"] = partial(topk_neighbors, opts=DEALT)
+    out["cf_predict_heavy"] = partial(cf_predict, opts=DEALT)
     out["cf_predict_dense"] = partial(cf_predict, dense=True)
     return out

@@ -2,12 +2,12 @@
 
 The weight of a neighbour item depends on the item pair alone, so it is worked out once
 per pair from six sums over the users who rated both, never from lists of users.
-Only the item pairs that requests need are summed. Where the work could pile up, it is dealt out:
+Only the item pairs that requests need are summed. Where the work could pile up, it is bounded or dealt out:
 
-* Co-ratings of a light user are the pairs of that user's items, cut by the needed item pairs before
-  they are summed: at most ``heavy_user_items`` pairs per rating.
-* Co-ratings of a heavy user are looked up for the needed item pairs, from the item with fewer heavy raters.
-  A heavy user's items are never paired with each other.
+* A co-rating is a triangle of a user and the two items of a needed pair. Each pair is looked up from one side only, that of the item
+  in fewer pairs, so that of E pairs no item has more than sqrt(2E) to look up. A rating then expands to the smaller of two sets: the item's partners
+  to look up, each of which is probed for a rating of the user, or the user's items, each of which is probed for a needed pair. No user's
+  items are paired with each other beyond that, however many they are.
 * A user's requests meet the user's items under several keys, so that a key makes about ``pairs_per_split``
   candidates at most, whether the requests or the items are many.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rateweave.functions.scalar import amplify, clip, reflect_rating
-from rateweave.operators.ratings import PAIR, entity_stats, global_mean
+from rateweave.operators.ratings import PAIR, RATING_UNITS, entity_stats, global_mean, units
 from rateweave.session import materialize
 
 # Neighbour weights used where a correlation is not computed.
@@ -40,6 +40,8 @@ FIXED_WEIGHTS = tuple(sorted({
 # Neighbours per prediction and correlations needed to trust it.
 NEIGHBORS = 20
 TRUSTED_WEIGHTS = 2
+#: Words of 64 bits that mark the partners of an item.
+MARK_WORDS = 16
 
 
 @dataclass(frozen=True)
@@ -47,7 +49,6 @@ class CFOptions:
     neighbors: int = NEIGHBORS
     order: str = "weight"
     exclude_target: bool = False
-    heavy_user_items: int = 2_000
     pairs_per_split: int = 1_000_000
 
 
@@ -74,16 +75,6 @@ def cold_start_class() -> Column:
     )
 
 
-def mark_heavy(table: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:
-    """The rating table with ``heavy``: whether the user has more than ``heavy_user_items`` items."""
-    heavy = (
-        table.groupBy("user_id").agg(F.count(F.lit(1)).alias("_items"))
-        .filter(F.col("_items") > opts.heavy_user_items)
-        .select("user_id", F.lit(True).alias("heavy"))
-    )
-    return table.join(heavy, "user_id", "left").withColumn("heavy", F.col("heavy").isNotNull())
-
-
 def candidates(known: DataFrame, table: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:
     """Every item the requesting user rated, per request: ``user, item, neighbor, rating, copies``.
 
@@ -111,89 +102,116 @@ def with_pair(cand: DataFrame) -> DataFrame:
 
 
 def needed_pairs(cand: DataFrame) -> DataFrame:
-    """The distinct item pairs ``lo <= hi`` of candidates, written once: both kinds of co-ratings start from them."""
-    return materialize(with_pair(cand).select("lo", "hi").distinct(), "needed-pairs")
+    """The distinct item pairs ``lo <= hi`` of candidates."""
+    return with_pair(cand).select("lo", "hi").distinct()
+
+
+def oriented(pairs: DataFrame) -> DataFrame:
+    """``near, far`` of each pair, written once: ``near`` is the item in fewer pairs, of two equal ones the smaller id."""
+    degree = pairs.select(F.explode(F.array("lo", "hi")).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("pairs"))
+    both = pairs.join(degree.toDF("lo", "lo_pairs"), "lo").join(degree.toDF("hi", "hi_pairs"), "hi")
+    straight = F.col("lo_pairs") <= F.col("hi_pairs")
+    return materialize(both.select(
+        F.when(straight, F.col("lo")).otherwise(F.col("hi")).alias("near"), F.when(straight, F.col("hi")).otherwise(F.col("lo")).alias("far"),
+    ), "oriented-pairs")
 
 
-def _light_co_ratings(marked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(lo, hi, x, y) for each light user and each needed pair of the user's items."""
-    rows = marked.filter(~F.col("heavy")).select("user_id", "item_id", "stars")
-    a, b = rows.toDF("user_id", "lo", "x"), rows.toDF("user_id", "hi", "y")
-    together = a.join(b, "user_id").filter(F.col("lo") <= F.col("hi")).select("lo", "hi", "x", "y")
-    return together.join(pairs, ["lo", "hi"], "left_semi")
+def mark(item: str) -> tuple[Column, Column]:
+    """Word and bit of an item in ``marks``."""
+    place = F.pmod(F.xxhash64(item), F.lit(MARK_WORDS * 64))
+    return F.floor(place / 64).cast("int"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({item}), 64) AS INT))")
 
 
-def _heavy_co_ratings(marked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(lo, hi, x, y) of heavy users for the needed pairs, probing from the item with fewer heavy raters.
+def ratings_to_expand(table: DataFrame, edges: DataFrame) -> DataFrame:
+    """The ratings of items in any pair: ``user_id, item_id, stars, pairs, partners, user_items``, written once.
 
-    Only pairs of items that heavy users rated are looked up, so without heavy users nothing is.
+    ``pairs`` of the item, of which ``partners`` are to be looked up from it, and how many such items the user has rated. ``marks`` has
+    a bit set for each partner, ``MARK_WORDS`` * 64 bits in all: it tells most items that are no partners before they are moved.
     """
-    heavy = marked.filter("heavy").select("user_id", "item_id", "stars")
-    raters = heavy.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n"))
-    lo_first = F.col("lo_n") <= F.col("hi_n")
-    probes = (
-        pairs.join(raters.toDF("lo", "lo_n"), "lo").join(raters.toDF("hi", "hi_n"), "hi")
-        .select(
-            "lo", "hi", F.when(lo_first, F.col("lo")).otherwise(F.col("hi")).alias("near"),
-            F.when(lo_first, F.col("hi")).otherwise(F.col("lo")).alias("far"),
-        )
+    ends = edges.select(F.inline(F.array(
+        F.struct(F.col("near").alias("item_id"), F.col("far").alias("partner")), F.struct(F.col("far").alias("item_id"), F.lit(None).alias("partner")),
+    )))
+    word, bit = mark("partner")
+    marks = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))) for k in range(MARK_WORDS)]
+    items = ends.groupBy("item_id").agg(
+        F.count(F.lit(1)).alias("pairs"), F.count("partner").alias("partners"), F.array(*marks).alias("marks"),
     )
-    both = probes.join(heavy.toDF("user_id", "near", "near_stars"), "near").join(
-        heavy.toDF("user_id", "far", "far_stars"), ["user_id", "far"]
+    rated = table.join(items, "item_id").select("user_id", "item_id", units(F.col("stars")).alias("stars"), "pairs", "partners", "marks")
+    return materialize(rated.join(rated.groupBy("user_id").agg(F.count(F.lit(1)).alias("user_items")), "user_id"), "rated")
+
+
+def expanded(rated: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows ``user_id, near, far, x`` to be probed for the user's rating of ``far``, and rows with that rating ``y`` to be probed for the pair.
+
+    Together at most the sum over all ratings of the smaller of ``partners`` and ``user_items``.
+    """
+    by_partners = F.col("partners") <= F.col("user_items")
+    near = rated.filter("partners > 0").select(
+        "user_id", F.col("item_id").alias("near"), F.col("stars").alias("x"), "pairs", "marks", by_partners.alias("by_partners")
+    )
+    to_rate = near.filter("by_partners").join(edges, "near").select("user_id", "near", "far", "x")
+    others = rated.select("user_id", F.col("item_id").alias("far"), F.col("stars").alias("y"), F.col("pairs").alias("far_pairs"))
+    # only partners that come after the item in the order of looking up
+    after = (F.col("pairs") < F.col("far_pairs")) | ((F.col("pairs") == F.col("far_pairs")) & (F.col("near") <= F.col("far")))
+    word, bit = mark("far")
+    marked = F.get("marks", word).bitwiseAND(bit) != 0
+    to_pair = near.filter("not by_partners").join(others, "user_id").filter(after & marked).select("user_id", "near", "far", "x", "y")
+    return to_rate, to_pair
+
+
+def co_ratings(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``lo, hi, x, y`` for each needed pair and each user who rated both."""
+    edges = oriented(pairs)
+    rated = ratings_to_expand(table, edges)
+    to_rate, to_pair = expanded(rated, edges)
+    second = rated.select("user_id", F.col("item_id").alias("far"), F.col("stars").alias("y"))
+    found = to_rate.join(second, ["user_id", "far"]).select("near", "far", "x", "y").unionByName(
+        to_pair.join(edges, ["near", "far"], "left_semi").select("near", "far", "x", "y")
     )
-    straight = F.col("near") == F.col("lo")
-    return both.select(
-        "lo", "hi",
-        F.when(straight, F.col("near_stars")).otherwise(F.col("far_stars")).alias("x"),
-        F.when(straight, F.col("far_stars")).otherwise(F.col("near_stars")).alias("y"),
+    straight = F.col("near") <= F.col("far")
+    return found.select(
+        F.least("near", "far").alias("lo"), F.greatest("near", "far").alias("hi"),
+        F.when(straight, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(straight, F.col("y")).otherwise(F.col("x")).alias("y"),
     )
 
 
-def _sum_co_ratings(rows: DataFrame) -> DataFrame:
+def pair_sums(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``lo, hi, n, sx, sy, cov, var_x, var_y`` over the co-raters of each of the needed ``pairs`` (lo <= hi, distinct) that has any."""
     x, y = F.col("x"), F.col("y")
-    return rows.groupBy("lo", "hi").agg(
+    return with_spread(co_ratings(table, pairs).groupBy("lo", "hi").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"),
         F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"),
-    )
-
-
-def pair_sums(table: DataFrame, pairs: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:
-    """Six sums over the co-raters of each of the needed ``pairs`` (lo <= hi, distinct) that has any."""
-    marked = mark_heavy(table, opts)
-    return _sum_co_ratings(_light_co_ratings(marked, pairs).unionByName(_heavy_co_ratings(marked, pairs)))
+    ))
 
 
-def _spread() -> tuple[Column, Column, Column]:
-    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    return (
-        n * F.col("sxy") - sx * sy,
-        n * F.col("sxx") - sx * sx,
-        n * F.col("syy") - sy * sy,
+def with_spread(sums: DataFrame) -> DataFrame:
+    """Sums in stars, with n * sum(xy) - sum(x) * sum(y) and its likes from whole rating units, so that zeros are exact."""
+    n, sx, sy, sxy, sxx, syy = (F.col(c).cast("decimal(19,0)") for c in ("n", "sx", "sy", "sxy", "sxx", "syy"))
+    spread = {"cov": n * sxy - sx * sy, "var_x": n * sxx - sx * sx, "var_y": n * syy - sy * sy}
+    kept = [c for c in sums.columns if c not in ("sx", "sy", "sxy", "sxx", "syy")]
+    return sums.select(
+        *kept, *((F.col(c) / RATING_UNITS).alias(c) for c in ("sx", "sy")), *(v.cast("double").alias(c) for c, v in spread.items())
     )
 
 
 def pearson() -> Column:
-    """Correlation from the six sums, clipped to [-1, 1]; null where a side does not vary.
-
-    Star ratings are small whole (or half) numbers, so the sums and the zero tests are exact.
-    """
-    num, dx, dy = _spread()
-    return clip(F.when((dx > 0) & (dy > 0), num / (F.sqrt(dx) * F.sqrt(dy))), -1, 1)
+    """Correlation from the spreads, clipped to [-1, 1]; null where a side does not vary."""
+    cov, var_x, var_y = F.col("cov"), F.col("var_x"), F.col("var_y")
+    return clip(F.when((var_x > 0) & (var_y > 0), cov / (F.sqrt(var_x) * F.sqrt(var_y))), -1, 1)
 
 
 def similarity_case(mean: Column) -> Column:
     """Which rule gives the weight; ``mean`` is the global mean rating."""
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    num, dx, dy = _spread()
     return (
         F.when(F.coalesce(n, F.lit(0)) == 0, "no_co_raters")
         .when((n == 1) & (sx > mean) & (sy > mean), "one_both_above")
         .when((n == 1) & (sx < mean) & (sy < mean), "one_both_below")
         .when(n == 1, "one_mixed")
         .when(n <= 3, "two_or_three")
-        .when((dx <= 0) | (dy <= 0), "no_variance")
-        .when(num == 0, "no_covariance")
+        .when((F.col("var_x") <= 0) | (F.col("var_y") <= 0), "no_variance")
+        .when(F.col("cov") == 0, "no_covariance")
         .otherwise("pearson")
     )
 
@@ -281,7 +299,7 @@ def known_requests(asked: DataFrame) -> DataFrame:
 def neighbor_weights(asked: DataFrame, table: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:
     """Every candidate of the classified requests with its weight."""
     cand = candidates(known_requests(asked), table, opts)
-    return weigh(cand, pair_sums(table, needed_pairs(cand), opts), global_mean(table))
+    return weigh(cand, pair_sums(table, needed_pairs(cand)), global_mean(table))
 
 
 def cf_predict(pairs: DataFrame, table: DataFrame, opts: CFOptions = CFOptions()) -> DataFrame:

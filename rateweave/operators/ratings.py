@@ -11,6 +11,13 @@ from pyspark.sql.window import Window
 from rateweave.session import cut_lineage
 
 PAIR = ("user_id", "item_id")
+#: Ratings are summed as whole thousandths, so that sums don't depend on the order of rows.
+RATING_UNITS = 1000
+
+
+def units(stars: Column) -> Column:
+    """A rating (or a sum of ratings) as a whole number of thousandths."""
+    return F.round(stars * RATING_UNITS).cast("long")
 
 
 def union_ratings(*parts: DataFrame) -> DataFrame:
@@ -31,12 +38,13 @@ def rating_table(events: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """One row per (user, item): last rating, number of events and their sum.
 
     Every later operator starts here, so repeated events are folded once, on the map
-    side, before anything is joined.
+    side, before anything is joined. Events without user, item or rating are not ratings and are left out.
     """
-    return events.groupBy(*PAIR).agg(
+    rated = events.filter(F.col("user_id").isNotNull() & F.col("item_id").isNotNull() & F.col("stars").isNotNull())
+    return rated.groupBy(*PAIR).agg(
         F.max_by("stars", F.struct(*order, "stars")).alias("stars"),
         F.count(F.lit(1)).alias("copies"),
-        F.sum("stars").alias("stars_sum"),
+        (F.sum(units(F.col("stars"))) / RATING_UNITS).alias("stars_sum"),
     )
 
 
@@ -47,15 +55,15 @@ def entity_stats(table: DataFrame, key: str) -> DataFrame:
         .agg(
             F.sum("copies").alias("events"),
             F.count(F.lit(1)).alias("partners"),
-            F.sum("stars_sum").alias("_total"),
+            F.sum(units(F.col("stars_sum"))).alias("_total"),
         )
-        .select(key, "events", "partners", (F.col("_total") / F.col("events")).alias("mean_stars"))
+        .select(key, "events", "partners", (F.col("_total") / RATING_UNITS / F.col("events")).alias("mean_stars"))
     )
 
 
 def global_mean(table: DataFrame) -> Column:
     """Mean of the last ratings, as a scalar subquery."""
-    return table.agg(F.avg("stars")).scalar()
+    return table.agg(F.sum(units(F.col("stars"))) / RATING_UNITS / F.count("stars")).scalar()
 
 
 def group_members(table: DataFrame, key: str, member: str) -> DataFrame:

@@ -35,9 +35,9 @@ def _random_case(seed):
 
 SPLITS = [
     cf.CFOptions(),
-    cf.CFOptions(heavy_user_items=12, pairs_per_split=7),
-    cf.CFOptions(heavy_user_items=5, pairs_per_split=50, neighbors=4),
-    cf.CFOptions(heavy_user_items=0, pairs_per_split=1, neighbors=6),
+    cf.CFOptions(pairs_per_split=7),
+    cf.CFOptions(pairs_per_split=50, neighbors=4),
+    cf.CFOptions(pairs_per_split=1, neighbors=6),
 ]
 
 
@@ -54,7 +54,7 @@ def test_predictions_match_definition(spark, seed, opts):
         assert got[pair][2] == trusted, pair
 
 
-@pytest.mark.parametrize("opts", [cf.CFOptions(), cf.CFOptions(heavy_user_items=100, pairs_per_split=10)])
+@pytest.mark.parametrize("opts", [cf.CFOptions(), cf.CFOptions(pairs_per_split=10)])
 def test_heavy_user_keeps_all_neighbors(spark, opts):
     rows = [(1, i, 3) for i in range(500)] + [(2, 1000, 4), (2, 7, 5), (3, 1000, 2)]
     table = rating_table(_events(spark, rows), ["ord"])
@@ -77,16 +77,51 @@ def test_only_needed_pairs_are_summed(spark):
     assert needed == {(min(r.item_id, r.neighbor_id), max(r.item_id, r.neighbor_id)) for r in cand.collect()}
 
 
+def test_lookups_are_bounded(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(80), int(200 * rng.random() ** 3), rng.randint(1, 5)) for _ in range(4000)]
+    rows += [(500, i, 3) for i in range(200)] + [(u, 0, 4) for u in range(600, 900)]  # an item that many rated, a user who rated all
+    table = rating_table(_events(spark, rows), ["ord"])
+    pairs = spark.createDataFrame([(500, i) for i in range(0, 200, 3)] + [(k, k) for k in range(40)], "user_id long, item_id long")
+    cand = cf.candidates(cf.known_requests(cf.classify_requests(pairs, table)), table)
+    edges = cf.oriented(cf.needed_pairs(cand))
+    rated = cf.ratings_to_expand(table, edges)
+    to_rate, to_pair = cf.expanded(rated, edges)
+    made = to_rate.count() + to_pair.count()
+    assert to_rate.count() > 0 and to_pair.count() > 0
+    assert made <= rated.agg(F.sum(F.least("partners", "user_items"))).first()[0]
+    n_edges = edges.count()
+    assert edges.groupBy("near").count().agg(F.max("count")).first()[0] <= (2 * n_edges) ** 0.5 + 1
+    items_of = {}
+    for u, i in {(u, i) for u, i, _ in rows}:
+        items_of.setdefault(u, set()).add(i)
+    needed = {(r.near, r.far) for r in edges.collect()}
+    brute_force = sum((a in its) and (b in its) for its in items_of.values() for a, b in needed)
+    assert cf.co_ratings(table, cf.needed_pairs(cand)).count() == brute_force
+
+
+def test_sums_of_tenths_are_exact(spark):
+    # 0.1 + 0.2 and the like: neither side varies, or the sides don't vary together
+    flat = [(u, i, 3.3) for u in range(7) for i in (1, 2)]
+    crossed = [(u, 3, s) for u, s in zip(range(10, 14), (1.1, 1.1, 4.7, 4.7))] + [(u, 4, s) for u, s in zip(range(10, 14), (1.3, 4.9, 1.3, 4.9))]
+    table = rating_table(_events(spark, flat + crossed), ["ord"])
+    pairs = spark.createDataFrame([(1, 2), (3, 4)], "lo long, hi long")
+    for parts in (1, 3):
+        got = cf.pair_sums(table.repartition(parts), pairs).withColumn("rule", cf.similarity_case(F.lit(3.0))).collect()
+        assert {r.lo: r.rule for r in got} == {1: "no_variance", 3: "no_covariance"}
+
+
 def _ladder(spark, pairs_of_ratings, mean=3.0):
     """Rule and weight for two items given each co-rater's pair of ratings."""
     rows = []
     for k, ratings in enumerate(pairs_of_ratings):
         n = len(ratings)
-        sums = [float(sum(f(x, y) for x, y in ratings)) for f in (
+        ratings = [(1000 * x, 1000 * y) for x, y in ratings]
+        sums = [sum(f(x, y) for x, y in ratings) for f in (
             lambda x, y: x, lambda x, y: y, lambda x, y: x * y, lambda x, y: x * x, lambda x, y: y * y)]
         rows.append((k, n or None, *[s if n else None for s in sums]))
-    df = spark.createDataFrame(
-        rows, "k int, n long, sx double, sy double, sxy double, sxx double, syy double"
+    df = cf.with_spread(
+        spark.createDataFrame(rows, "k int, n long, sx long, sy long, sxy long, sxx long, syy long")
     ).withColumn("rule", cf.similarity_case(F.lit(mean)))
     out = df.select("k", "rule", cf.similarity_weight(F.col("rule")).alias("w")).orderBy("k").collect()
     return [(r.rule, r.w) for r in out]

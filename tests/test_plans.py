@@ -46,7 +46,7 @@ def test_every_sql_twin_has_a_query():
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["cf_predict", "topk_neighbors", "feature_frame", "hybrid_blend", "hybrid_eval", "group_to_list", "cf_predict_heavy", "scan_lookup_map"])
+@pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_queries_match_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
