@@ -314,6 +314,14 @@ def oracle_sql() -> dict[str, str]:
         # Sources and sinks
         "scan_ratings": q(
             "SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id, stars FROM train", "train"),
+        "scan_bad_ratings": q("""
+            SELECT reason, count(*) AS n, CAST(sum(thousandths) AS BIGINT) AS thousandths FROM (
+                SELECT CASE item_id % 50 WHEN 3 THEN 'broken' WHEN 4 THEN 'no stars' ELSE 'read' END AS reason,
+                       CASE WHEN item_id % 50 NOT IN (3, 4) THEN CAST(stars * 1000 AS BIGINT) END AS thousandths FROM train
+            ) GROUP BY reason""", "train"),
+        "scan_users_last": q("""
+            SELECT CAST(user_id AS VARCHAR) AS user_id, round(average_stars, 6) AS average_stars,
+                   CAST(review_count + 1000 * (user_id % 3) AS BIGINT) AS review_count FROM users""", "users"),
         "scan_requests": q(
             "SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id, count(*) AS copies "
             "FROM requests GROUP BY 1, 2", "requests"),
@@ -459,6 +467,12 @@ def oracle_sql() -> dict[str, str]:
         "feature_frame": q(f"SELECT {_frame_columns(False)} FROM frame", "frame", **_REQUESTED),
         "training_frame": q(f"SELECT {_frame_columns(True)} FROM frame", "frame", **_TRAINING),
         "model_roundtrip": q("SELECT user_id, item_id, TRUE AS same FROM pairs", "pairs"),
+        "gbt_walk": q("SELECT user_id, item_id, TRUE AS same FROM pairs", "pairs"),
+        "gbt_error_curve": q(
+            "SELECT CAST(t AS BIGINT) AS trees, n, TRUE AS falls FROM (SELECT unnest([0, 5, 10]) AS t), (SELECT count(*) AS n FROM val)", "val"),
+        "tune_gbt": "SELECT depth, learning_rate, trees, TRUE AS possible FROM (VALUES (2), (4)) d(depth), "
+                    "(VALUES (0.05::DOUBLE), (0.2::DOUBLE)) r(learning_rate), (VALUES (1), (3)) t(trees)",
+        "hybrid_model_eval": q("SELECT count(*) AS n, TRUE AS beats_base FROM val", "val"),
         "ensemble_mean": q(f"SELECT user_id, item_id, round(model_score, 6) AS model_score FROM ({_STAND_IN})",
                            "cf", "mu", "user_stats", "item_stats"),
         "hybrid_blend": q(f"""

@@ -6,13 +6,13 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rateweave.catalog.inputs import ORDER, Inputs
 from rateweave.functions import mode, scalar
 from rateweave.functions.impute import impute
-from rateweave.operators import cf, evaluate, features, hybrid, models, ratings, social
+from rateweave.operators import boosting, cf, evaluate, features, hybrid, models, ratings, social
 from rateweave.operators.ratings import PAIR
 from rateweave.plans import pipeline
 from rateweave.session import fresh_path, materialize
@@ -22,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 DEALT = cf.CFOptions(pairs_per_split=200)
 #: Trees per model in the queries and the bench; all else is as in the full models.
-TREES = 5
+TREES = 10
 QUICK_A, QUICK_B = (replace(b, trees=TREES) for b in (models.MODEL_A, models.MODEL_B))
 
 
@@ -67,6 +67,27 @@ def scan_ratings(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_ratings(spark, path).drop("origin", "file_order")
 
 
+def scan_bad_ratings(spark: SparkSession, sf: str) -> DataFrame:
+    """A file in which some ratings are no numbers and some rows break off: what is read, and what is set aside for which reason."""
+    path, aside = fresh_path(spark, "ratings-csv"), fresh_path(spark, "bad-rows")
+    stars = F.when(F.col("item_id") % 50 == 3, F.lit("n/a")).when(F.col("item_id") % 50 == 4, F.lit(None)).otherwise(F.col("stars").cast("string"))
+    Inputs(spark, sf).train().select(*PAIR, stars.alias("stars")).write.option("header", True).csv(path)
+    read = readers.read_ratings(spark, path, bad=readers.BadRows(aside, most_share=0.5))
+    good = read.agg(F.lit("read").alias("reason"), F.count(F.lit(1)).alias("n"), F.sum(ratings.units(F.col("stars"))).alias("thousandths"))
+    counts = spark.read.parquet(f"{aside}/counts").select("reason", "n", F.lit(None).cast("long").alias("thousandths"))
+    return good.unionByName(counts)
+
+
+def scan_users_last(spark: SparkSession, sf: str) -> DataFrame:
+    """A file that holds every profile up to three times: the last one of each user counts."""
+    path = fresh_path(spark, "users-json")
+    users = Inputs(spark, sf).users().select("user_id", "average_stars", "review_count")
+    times = users.withColumn("version", F.explode(F.sequence(F.lit(0), (F.col("user_id") % 3).cast("int"))))
+    changed = times.withColumn("review_count", F.col("review_count") + 1000 * F.col("version"))
+    changed.repartition("user_id").sortWithinPartitions("user_id", "version").drop("version").write.json(path)
+    return readers.read_users(spark, path).select("user_id", _r("average_stars"), "review_count")
+
+
 def scan_requests(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "requests-csv")
     Inputs(spark, sf).requests().write.option("header", True).csv(path)
@@ -470,23 +491,47 @@ def gbt_predict(spark: SparkSession, sf: str) -> DataFrame:
     return models.ensemble_score(fit_quick(i), _frame(i))
 
 
+def _model(i: Inputs, b: models.Boosting = QUICK_A) -> tuple[models.Ensemble, DataFrame]:
+    return models.fit(materialize(_training(i), "training"), b), materialize(_frame(i), "frame")
+
+
 def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a model scores each pair the same before saving and after loading."""
-    i = Inputs(spark, sf).store()
-    model = models.fit(materialize(_training(i), "training"), QUICK_A)
+    model, frame = _model(Inputs(spark, sf).store())
     path = fresh_path(spark, "model")
     models.save(model, path)
-    before = models.score(model, _frame(i), "before")
-    both = models.score(models.load(path), before, "after")
+    before = models.score(model, frame, "before")
+    both = models.score(models.load(spark, path), before, "after")
     return both.select(*PAIR, (F.col("before") == F.col("after")).alias("same"))
 
 
+def gbt_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each pair's score by joins with the table of nodes is that of the arrays."""
+    model, frame = _model(Inputs(spark, sf).store())
+    walked = boosting.walk(model, frame, PAIR, "walked")
+    both = models.score(model, frame, "scored").select(*PAIR, "scored").join(walked, list(PAIR))
+    return both.select(*PAIR, (F.abs(F.col("walked") - F.col("scored")) < 1e-9).alias("same"))
+
+
+def gbt_error_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """Of one fit on the reviews: for the first so many trees, the validation ratings scored, and whether the error is below that of fewer trees."""
+    i = Inputs(spark, sf).store()
+    s = stored_sources(i)
+    tables, reviewed = features.feature_tables(s), materialize(_reviewed(i), "reviews")
+    known = materialize(features.feature_frame(features.labelled_ratings(s.reviews, None), s, tables, reviewed), "training")
+    held = materialize(features.feature_frame(i.val().select(*PAIR, F.col("stars").alias("label")), s, tables, reviewed), "held-out")
+    curve = boosting.error_curve(models.fit(known, QUICK_A), held, (0, TREES // 2, TREES))
+    fewer = F.lag("rmse").over(Window.orderBy("trees"))  # a row per number of trees
+    return curve.select(
+        F.col("trees").cast("long").alias("trees"), F.col("n").cast("long").alias("n"), F.coalesce(F.col("rmse") < fewer, F.lit(True)).alias("falls")
+    )
+
+
 def tune_gbt(spark: SparkSession, sf: str) -> DataFrame:
+    """Grid points and numbers of trees, and whether each has an error that two folds agree to be possible (0 to 4 stars)."""
     frame = materialize(_training(Inputs(spark, sf).store()), "training")
-    _, summary = models.tune(frame, QUICK_A, {"maxDepth": [2, 4], "stepSize": [0.05, 0.2]})
-    return spark.createDataFrame(
-        [(p["maxDepth"], p["stepSize"], p["rmse"]) for p in summary], "depth int, step double, rmse double"
-    )
+    errors = models.tune(frame, QUICK_A, {"depth": [2, 4], "learning_rate": [0.05, 0.2]}, trees=(1, 3))
+    return errors.select("depth", "learning_rate", "trees", F.col("rmse").between(0, 4).alias("possible"))
 
 
 def _stand_in(i: Inputs) -> tuple[DataFrame, DataFrame]:
@@ -528,6 +573,19 @@ def hybrid_eval(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.rmse(val.join(blended, list(PAIR))).select("n", _r("rmse"))
 
 
+def hybrid_model_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """The blend with fitted models on the validation ratings, from the training period alone: rows, and whether it beats the models' base score."""
+    i = Inputs(spark, sf).store()
+    s = sources(i)
+    fitted = pipeline.train_models(s, None, (QUICK_A, QUICK_B))
+    val = materialize(i.val().select(*PAIR, F.col("stars").alias("label")), "validation")
+    asked = val.select(*PAIR).distinct()
+    blended = pipeline.predict(asked, [i.train()], ORDER, s, fitted)
+    error = evaluate.rmse(val.join(blended, list(PAIR)))
+    base = F.sqrt(F.avg((F.col("label") - models.MODEL_A.base_score) ** 2))
+    return error.select("n", (F.col("rmse") < val.agg(base).scalar()).alias("beats_base"))
+
+
 def hybrid_predict(spark: SparkSession, sf: str) -> DataFrame:
     """The whole job: fit both models, then predict every requested row."""
     i = Inputs(spark, sf).store()
@@ -538,7 +596,7 @@ def hybrid_predict(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     plain = [
-        scan_ratings, scan_requests, scan_json_items, scan_lookup_map, sink_predictions_csv,
+        scan_ratings, scan_bad_ratings, scan_users_last, scan_requests, scan_json_items, scan_lookup_map, sink_predictions_csv,
         filter_present_map, row_range_slice, friend_edges, feat_friend_count, feat_days_open,
         feat_checkin_slots, feat_binary_attr, feat_onehot_attr, feat_price_range, feat_member_since,
         feat_hours_parse, dict_encode, feat_interactions, linear_interp, clip_range, impute_constant,
@@ -547,8 +605,8 @@ def queries() -> dict[str, Query]:
         feat_activity_counts, feat_date_variance, feat_open_time, feat_close_mode, global_mode,
         pcc_pairs, similarity_ladder, topk_neighbors, cf_confidence, cf_predict, blend_means,
         impute_mean, impute_opening, eval_rmse, eval_error_hist, union_ratings, feature_frame,
-        training_frame, gbt_predict, model_roundtrip, tune_gbt, ensemble_mean, hybrid_blend,
-        hybrid_predict, hybrid_eval,
+        training_frame, gbt_predict, model_roundtrip, gbt_walk, gbt_error_curve, tune_gbt, ensemble_mean, hybrid_blend,
+        hybrid_predict, hybrid_eval, hybrid_model_eval,
     ]
     out: dict[str, Query] = {fn.__name__: fn for fn in plain}
     out["topk_neighbors_signed"] = partial(topk_neighbors, opts=cf.CFOptions(order="signed"))

@@ -39,8 +39,11 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--since-field", default="member_since", help="sign-up date of the user file")
     p.add_argument("--trees", type=int, help="trees per model, instead of the models' own setting")
     p.add_argument("--max-depth", type=int, help="upper bound on the depth of either model")
+    p.add_argument("--resume", help="folder for the segments of a fit; the same call goes on from what is there")
     p.add_argument("--labels", help="ratings that evaluate compares with; default the validation file")
     p.add_argument("--train-only", action="store_true", help="leave the validation ratings out of fit and neighbours")
+    p.add_argument("--bad-rows", help="folder for input rows that can't be read; without it they are left out silently")
+    p.add_argument("--most-bad", type=float, default=0.01, help="share of a file's rows that may be bad before the job fails")
     p.add_argument("--spaced-header", action="store_true")
     return p
 
@@ -60,29 +63,31 @@ def main(argv: Sequence[str] | None = None) -> None:
         raise SystemExit("evaluate needs --out")
     spark = build_session(f"rateweave-{args.job}")
     at = args.data.rstrip("/")
-    users = readers.read_users(spark, f"{at}/{args.users_file}", args.since_field)
+    bad = readers.BadRows(args.bad_rows, args.most_bad) if args.bad_rows else None
+    users = readers.read_users(spark, f"{at}/{args.users_file}", args.since_field, bad)
     if users.filter("member_since is not null").isEmpty():
         raise SystemExit(f"no user has the field {args.since_field!r}; name the sign-up date with --since-field")
     sources = Sources(
         users=users,
-        items=readers.read_items(spark, f"{at}/{args.items_file}"),
-        reviews=readers.read_reviews(spark, f"{at}/{args.reviews_file}"),
-        checkins=readers.read_checkins(spark, f"{at}/{args.checkins_file}"),
+        items=readers.read_items(spark, f"{at}/{args.items_file}", bad),
+        reviews=readers.read_reviews(spark, f"{at}/{args.reviews_file}", bad),
+        checkins=readers.read_checkins(spark, f"{at}/{args.checkins_file}", bad),
         lookup=readers.read_lookup(spark, args.lookup) if args.lookup else None,
         order=("rated_on", "file_order"),
     )
-    known = readers.read_ratings(spark, f"{at}/{args.val_file}", origin=1)
+    known = readers.read_ratings(spark, f"{at}/{args.val_file}", origin=1, bad=bad)
     validation = None if args.train_only else known
     names = [f"{args.models.rstrip('/')}/model_{tag}" for tag in ("a", "b")]
     if args.job == "train":
-        for model, path in zip(train_models(sources, validation, _settings(args)), names):
+        stores = [args.resume and f"{args.resume.rstrip('/')}/{tag}" for tag in ("a", "b")]
+        for model, path in zip(train_models(sources, validation, _settings(args), stores), names):
             models.save(model, path)
         return
-    ratings = [readers.read_ratings(spark, f"{at}/{args.train_file}", origin=0)]
+    ratings = [readers.read_ratings(spark, f"{at}/{args.train_file}", origin=0, bad=bad)]
     ratings += [] if args.train_only else [known]
-    fitted = (models.load(names[0]), models.load(names[1]))
-    labels = readers.read_ratings(spark, args.labels) if args.labels else known
-    requests = readers.read_requests(spark, args.requests) if args.job == "predict" else labels.select(*PAIR)
+    fitted = (models.load(spark, names[0]), models.load(spark, names[1]))
+    labels = readers.read_ratings(spark, args.labels, bad=bad) if args.labels else known
+    requests = readers.read_requests(spark, args.requests, bad) if args.job == "predict" else labels.select(*PAIR)
     result = predict(requests, ratings, ("origin", "file_order"), sources, fitted)
     if args.job == "predict":
         sinks.write_predictions(result, args.out, args.spaced_header)

@@ -1,6 +1,7 @@
 """The shape of the physical plans: no nested loops, no Python workers, pruned scans."""
 
 import os
+from dataclasses import replace
 
 import pytest
 
@@ -42,12 +43,14 @@ def test_every_sql_twin_has_a_query():
     names = set(queries.queries())
     twins = set(oracles.oracle_sql())
     assert twins <= names
-    assert names - twins == {"gbt_predict", "tune_gbt", "hybrid_predict"}
+    assert names - twins == {"gbt_predict", "hybrid_predict"}
 
 
 @needs_data
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
-def test_queries_match_their_sql(spark, name):
+def test_queries_match_their_sql(spark, monkeypatch, name):
+    monkeypatch.setattr(queries, "QUICK_A", replace(queries.QUICK_A, depth=3))  # the facts hold for shallow trees too
+    monkeypatch.setattr(queries, "QUICK_B", replace(queries.QUICK_B, depth=3))
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     for file in os.listdir(DATA):
