@@ -163,10 +163,11 @@ class Bpe:
         order = np.arange(len(ids))
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         sizes = np.bincount(fragment)
+        ends = np.cumsum(sizes)  # fragments stand one after another
         for f in np.flatnonzero(sizes >= HEAP_FROM):
-            own = np.flatnonzero(fragment == f)
-            merged = np.array(self.merge_long(ids[own].tolist()))
-            done.append((merged, word[own[: len(merged)]], order[own[: len(merged)]]))
+            start = ends[f] - sizes[f]
+            merged = np.array(self.merge_long(ids[start : ends[f]].tolist()))
+            done.append((merged, word[start : start + len(merged)], order[start : start + len(merged)]))
         rest = sizes[fragment] < HEAP_FROM
         ids, fragment, word, order = ids[rest], fragment[rest], word[rest], order[rest]
         while len(ids):

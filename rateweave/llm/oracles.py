@@ -146,7 +146,7 @@ FROM compared WHERE 200 * shared >= {t} * total
 
 def op9_quality() -> str:
     r = quality.Rules()
-    stock = "|".join(quality.STOCK_PHRASES)
+    stock = rf"\b(?:{'|'.join(quality.STOCK_PHRASES)})\b"
     dividers = ", ".join(map(quoted, sorted(quality.DIVIDERS)))
     n, w = "len(w)", "w"
     marks = f"len(list_filter({w}, lambda x: x IN ({dividers})))"

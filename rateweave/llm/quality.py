@@ -38,7 +38,7 @@ STOCK_PHRASES = (
     "follow us on", "forgot your password", "log in", "lorem ipsum", "powered by", "privacy policy", "read more",
     "sign in", "sign up", "skip to content", "subscribe to our", "terms of service", "terms of use", "we use cookies",
 )
-STOCK = re.compile("|".join(STOCK_PHRASES), re.IGNORECASE | re.ASCII)
+STOCK = re.compile(rf"\b(?:{'|'.join(STOCK_PHRASES)})\b", re.IGNORECASE | re.ASCII)  # whole words: no "log in" in "catalog in"
 SYMBOL_RUN = re.compile("[#*$%&|<>]{2}|!!")
 DIVIDERS = frozenset("|»›•·>/")
 PUNCTUATION = re.compile("[.,;:!?…。！？]")

@@ -134,3 +134,8 @@ def test_only_requested_frames_are_read_and_damage_is_found(tmp_path, monkeypatc
     path.write_bytes(b"x" * 40)
     with pytest.raises(token_files.Damaged):
         token_files.open_reader(None, str(path))
+
+
+def test_many_long_fragments(own, library):
+    text = "\n".join("acgt" * 17 + f"{'ac' * (k % 7)}" for k in range(300))
+    assert ids(own.encode_all([text])[0]) == library.encode(text, add_special_tokens=False).ids

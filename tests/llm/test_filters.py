@@ -166,3 +166,13 @@ def test_quality_lines_and_documents(spark):
     assert not by_id[4].base_failed and not by_id[4].kept
     assert not any(by_id[i].kept for i in (5, 6, 7, 8))
     assert quality.clean(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("line, found", [
+    ("The design in this paper stands.", None), ("The catalog in this paper stands.", None), ("It spread more, and back to topics.", None),
+    ("Please log in here.", "boilerplate"), ("LOG IN", "boilerplate"), ("Read more!", "boilerplate"),
+])
+def test_stock_phrases_are_whole_words(line, found):
+    assert (quality.STOCK.search(line) is not None) == (found is not None)
+    kept = quality.judge("\n".join([line, *(f"A sentence number {k} with enough words of its own to stay." for k in range(12))]), quality.Rules())[0]
+    assert (line in kept) == (found is None)

@@ -1,6 +1,8 @@
 """Registered queries against their SQL twins, and the pipeline against its stages taken by hand."""
 
+import hashlib
 import os
+import zlib
 from collections import Counter
 
 import duckdb
@@ -119,3 +121,18 @@ def test_near_duplicate_stage_keeps_one_of_repeated_rows(spark):
     out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, schema), DATA).collect()
     assert sorted(r.doc_id for r in out) == [5, 7]
     assert minhash.WORDS == 5
+
+
+def test_encoding_queries_like_the_library(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = sorted(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect())
+    wanted, files, start = {}, {}, 0
+    for r in rows:
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        decoded = library.decode(ids, skip_special_tokens=False)
+        wanted[r.doc_id] = (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+        files[r.doc_id] = (start, len(ids) + 1, zlib.crc32(packed + (1).to_bytes(4, "little")))
+        start += len(ids) + 1
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in catalog.op1_bpe(spark, DATA).collect()} == wanted
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in catalog.op3_token_files(spark, DATA).collect()} == files
