@@ -123,7 +123,7 @@ def mark(item: str) -> tuple[Column, Column]:
 
 
 def ratings_to_expand(table: DataFrame, edges: DataFrame) -> DataFrame:
-    """The ratings of items in any pair: ``user_id, item_id, stars, pairs, partners, user_items``, written once.
+    """The ratings of items in any pair: ``user_id, item_id, stars, pairs, partners, marks, user_items``.
 
     ``pairs`` of the item, of which ``partners`` are to be looked up from it, and how many such items the user has rated. ``marks`` has
     a bit set for each partner, ``MARK_WORDS`` * 64 bits in all: it tells most items that are no partners before they are moved.
@@ -137,7 +137,7 @@ def ratings_to_expand(table: DataFrame, edges: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("pairs"), F.count("partner").alias("partners"), F.array(*marks).alias("marks"),
     )
     rated = table.join(items, "item_id").select("user_id", "item_id", units(F.col("stars")).alias("stars"), "pairs", "partners", "marks")
-    return materialize(rated.join(rated.groupBy("user_id").agg(F.count(F.lit(1)).alias("user_items")), "user_id"), "rated")
+    return rated.join(rated.groupBy("user_id").agg(F.count(F.lit(1)).alias("user_items")), "user_id")
 
 
 def expanded(rated: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
