@@ -133,9 +133,9 @@ def ratings_to_expand(table: DataFrame, edges: DataFrame) -> DataFrame:
     )))
     word, bit = mark("partner")
     marks = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))) for k in range(MARK_WORDS)]
-    items = ends.groupBy("item_id").agg(
+    items = materialize(ends.groupBy("item_id").agg(
         F.count(F.lit(1)).alias("pairs"), F.count("partner").alias("partners"), F.array(*marks).alias("marks"),
-    )
+    ), "items")
     rated = table.join(items, "item_id").select("user_id", "item_id", units(F.col("stars")).alias("stars"), "pairs", "partners", "marks")
     return rated.join(rated.groupBy("user_id").agg(F.count(F.lit(1)).alias("user_items")), "user_id")
 
