@@ -1,4 +1,37 @@
-"""Whole texts of short licences and the openings of long ones, by SPDX name, without copyright lines of their users."""
+"""Public licence texts by SPDX name: short ones whole, without copyright lines of their users, long ones by their openings and by all sections.
+
+The long texts lie in ``texts/``, word for word. A section is as many paragraphs in a row as have ``SECTION_WORDS`` words together; the
+last one also takes what is left over. So a file is known by any part that holds a section.
+"""
+
+import re
+from importlib import resources
+
+LONG_TEXTS = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")
+SECTION_WORDS = 150
+
+
+def long_text(name: str) -> str:
+    return (resources.files("rateweave.llm") / "texts" / f"{name}.txt").read_text("utf-8")
+
+
+def sections(text: str, least: int = SECTION_WORDS) -> list[str]:
+    """The text in runs of whole paragraphs of at least ``least`` words; a shorter text is one section."""
+    done, held, words = [], [], 0
+    for paragraph in re.split(r"\n\s*\n", text):
+        held.append(paragraph.strip())
+        words += len(re.findall("[A-Za-z0-9]+", paragraph))
+        if words >= least:
+            done.append("\n\n".join(held))
+            held, words = [], 0
+    if words:
+        done = done[:-1] + ["\n\n".join(done[-1:] + held)]
+    return done
+
+
+SECTIONS = tuple((name, section) for name in LONG_TEXTS for section in sections(long_text(name)))
+
+# fixed values: licence texts
 
 FULL_TEXTS = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),

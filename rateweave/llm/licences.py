@@ -13,13 +13,15 @@ compared with it, wherever lines end; a run that reaches the threshold can be mo
 bigram. Runs are only made for a template if the document shares as many bigrams with it as the threshold takes, and only where as many
 of them lie close enough. Of overlapping runs of one template the best counts, of equal ones the first. A passage is left out if ``scan``
 has it already: if it is part of a line found for the same licence, or touches a line or lies in a document found for the same template.
-Passages are also compared with ``FULL_TEXTS``: whole texts of the short licences, and the openings that files of the long ones
-begin with (a long text without its opening is not looked for).
+Passages are also compared with ``FULL_TEXTS``, whole texts of the short licences and openings of the long ones, and in ``notices`` with
+``SECTIONS``, all of each long text in sections, so that any part of a licence file that holds a section is found.
 
 A unit or run that reaches the threshold shares at least t / (2 - t) of a template's bigrams, so it holds one of any choice of slightly
 more than the rest of them. The choice is those of the longest words; documents without any of it are passed over.
 
 Templates are a parameter of at most ``MAX_TEMPLATES``; their bigrams are literals of the expression. Everything is row by row, with no shuffle.
+Time and memory go with the length of a text, also of one that is nothing but notices: each word is compared with its own template's
+length of words, one run at a time.
 
 Defined results: null and empty texts and units with fewer than two words match nothing. A unit that reaches the threshold with
 several templates has a row for each. Repeated rows give their own rows; rows without id are kept. Other columns are ignored.
@@ -32,7 +34,8 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rateweave.llm.common import lower_ascii
-from rateweave.llm.licence_texts import FULL_TEXTS
+from rateweave.llm.licence_texts import FULL_TEXTS, SECTIONS
+from rateweave.session import materialize
 
 THRESHOLD_PERCENT = 70
 MAX_TEMPLATES = 200
@@ -87,14 +90,26 @@ def telling(known: list[tuple[int, str, list[str]]], percent: int) -> list[str]:
     return sorted({b for _, _, own in known for b in sorted(own, key=lambda b: (-len(b), b))[: len(own) - least_shared(len(own), percent) + 1]})
 
 
+def one_of(pairs: list[str]) -> str:
+    """SQL list of bigrams (of a-z, 0-9 and blanks alone)."""
+    return ", ".join(f"'{b}'" for b in pairs)
+
+
+def held_apart(df: DataFrame, kept: list[str], **columns: Column) -> DataFrame:
+    """Columns ``kept`` and new ones, which later filters and expressions take as they are instead of working them out again."""
+    made = df.select(*kept, F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))).alias("_made"))
+    return made.select(*kept, *(F.col(f"_made.{name}").alias(name) for name in columns))
+
+
 def with_pairs(docs: DataFrame, known: list[tuple[int, str, list[str]]], percent: int, doc_id: str, text: str) -> DataFrame:
     """doc_id, text and pairs (all bigrams in order) of the documents that can match anything."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    rows = rows.withColumn("words", F.split(F.trim(F.regexp_replace(lower_ascii(F.col("text")), "[^a-z0-9]+", " ")), " "))
-    rest = F.slice("words", 2, F.size("words"))
+    words = F.split(F.trim(F.lower(F.regexp_replace("text", "[^A-Za-z0-9]+", " "))), " ")
+    rows = held_apart(rows, ["doc_id", "text"], words=words)
     # the pair of the last word is null
-    rows = rows.withColumn("pairs", F.zip_with("words", rest, lambda a, b: F.concat(a, F.lit(" "), b)))
-    return rows.where(F.exists("pairs", lambda b: F.coalesce(b.isin(telling(known, percent)), F.lit(False)))).drop("words")
+    pairs = F.zip_with("words", F.slice("words", 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b))
+    rows = held_apart(rows, ["doc_id", "text"], pairs=pairs)
+    return rows.where(F.expr(f"exists(pairs, b -> coalesce(b in ({one_of(telling(known, percent))}), false))"))
 
 
 def scan(
@@ -139,41 +154,58 @@ def passages(
 
     def listing(some):
         return F.array(*(
-            F.struct(
-                F.lit(i).alias("no"), F.lit(name).alias("name"), F.lit(lengths[i]).alias("long"), F.lit(least_shared(len(own), percent)).alias("least"),
-                F.array(*map(F.lit, own)).alias("own"),
-            ) for i, name, own in some
+            F.struct(F.lit(i).alias("no"), F.lit(name).alias("name"), F.split(F.lit(",".join(own)), ",").alias("own")) for i, name, own in some
         ))
 
     every = sorted({b for t in known for b in t[2]})
     rows = with_pairs(docs, known, percent, doc_id, text)
-    hits = F.filter(F.transform("pairs", lambda b, i: F.struct(i.alias("at"), b.alias("pair"))), lambda h: h["pair"].isin(every))
-    rows = rows.withColumn("hits", hits).withColumn("seen", F.array_distinct(F.col("hits.pair")))
-    fitting = F.filter(listing(known), lambda t: F.size(F.array_intersect("seen", t["own"])) >= t["least"])
-    rows = rows.select("doc_id", "text", "pairs", "hits", F.explode(fitting).alias("t")).select("doc_id", "text", "pairs", "hits", "t.*")
-    held = F.filter("hits", lambda h: F.array_contains("own", h["pair"]))
-    rows = rows.withColumn("held", F.transform(held, lambda h: h["at"])).drop("hits")
+    hits = F.expr(f"filter(transform(pairs, (b, i) -> struct(i as at, b as pair)), h -> h.pair in ({one_of(every)}))")
+    rows = held_apart(rows, ["doc_id", "text", "pairs"], hits=hits)
+    # where the bigrams of a template stand, in documents with enough of them
+    places = F.array(*(
+        F.struct(
+            F.lit(i).alias("no"), F.lit(name).alias("name"), F.lit(lengths[i]).alias("long"), F.lit(least_shared(len(own), percent)).alias("least"),
+            F.split(F.lit(",".join(own)), ",").alias("own"), F.expr(f"transform(filter(hits, h -> h.pair in ({one_of(own)})), h -> h.at)").alias("held"),
+        ) for i, name, own in known
+    ))
+    rows = rows.select("doc_id", "text", "pairs", F.explode(F.filter(places, lambda t: F.size(t["held"]) >= t["least"])).alias("t"))
+    rows = rows.select("doc_id", "text", "pairs", "t.*")
     starts = F.filter("held", lambda at, i: F.coalesce(F.get("held", i + F.col("least") - 1) <= at + F.col("long") - 2, F.lit(False)))
-    rows = rows.withColumn("starts", starts).where(F.size("starts") > 0)
 
-    # a run that ends with the document has a null for the pair of the last word
-    runs = F.transform("starts", lambda at: F.struct(
-        at.alias("at"), F.array_distinct(F.array_compact(F.slice("pairs", at + 1, F.col("long") - 1))).alias("run")
-    ))
-    sized = F.transform(runs, lambda r: F.struct(
-        r["at"].alias("at"), F.size(F.array_intersect(r["run"], "own")).alias("shared"), (F.size(r["run"]) + F.size("own")).alias("both")
+    # one run at a time; a run that ends with the document has a null for the pair of the last word
+    def run(at):
+        return F.array_compact(F.slice("pairs", at + 1, F.col("long") - 1))
+
+    sized = F.transform(starts, lambda at: F.struct(
+        at.alias("at"), F.size(F.array_intersect(run(at), "own")).alias("shared"), (F.size(F.array_distinct(run(at))) + F.size("own")).alias("both")
     ))
     good = F.filter(sized, lambda r: 200 * r["shared"] >= percent * r["both"])
     ranked = F.array_sort(F.transform(good, lambda r: F.struct((-2 * r["shared"] / r["both"]).alias("lack"), r["at"].alias("at"), r["shared"].alias("shared"), r["both"].alias("both"))))
-    rows = rows.withColumn("ranked", ranked).where(F.size("ranked") > 0)
-    best = F.aggregate("ranked", F.slice("ranked", 1, 0), lambda taken, r: F.when(
-        F.exists(taken, lambda k: F.abs(k["at"] - r["at"]) < F.col("long")), taken
-    ).otherwise(F.concat(taken, F.array(r))))
-    rows = rows.withColumn("lines", F.split("text", "\n")).withColumn("sizes", F.transform("lines", word_count))
-    found = rows.select("*", F.explode(best).alias("r"))
+    kept = ["doc_id", "text", "pairs", "no", "name", "long", "own"]
+    rows = held_apart(rows, kept, ranked=ranked).where(F.size("ranked") > 0)
+    # Of runs that overlap none is taken twice, so a stretch of a run's length holds the beginning of one at most: a run meets
+    # those taken in its own stretch and the next ones only.
+    stretch = F.floor(F.size("pairs") / F.col("long")).cast("int") + 1
+    none = F.array_repeat(F.get("ranked", F.size("ranked")), stretch)
+
+    def taken_with(taken, r):
+        k = F.floor(r["at"] / F.col("long")).cast("int")
+        near = [F.get(taken, k + d) for d in (-1, 0, 1)]
+        overlaps = [F.coalesce(F.abs(n["at"] - r["at"]) < F.col("long"), F.lit(False)) for n in near]
+        put = F.concat(F.slice(taken, 1, k), F.array(r), F.slice(taken, k + 2, F.size(taken)))
+        return F.when(overlaps[0] | overlaps[1] | overlaps[2], taken).otherwise(put)
+
+    best = F.array_compact(F.aggregate("ranked", none, taken_with))
+    lines = F.split("text", "\n")
+    line_no = F.flatten(F.transform(lines, lambda line, i: F.array_repeat(i, word_count(line))))
+    rows = held_apart(rows, [c for c in kept if c != "text"], best=best, lines=lines, line_no=line_no)
+    found = rows.select("*", F.explode("best").alias("r"))
     last = F.least(F.col("r.at") + F.col("long"), F.size("pairs")) - 1
-    found = found.withColumn("first_line", line_of(F.col("r.at"))).withColumn("last_line", line_of(last))
-    found = found.withColumn("units", F.transform(F.slice("lines", F.col("first_line") + 1, F.col("last_line") - F.col("first_line") + 1), bigrams))
+    found = found.withColumn("first_line", F.get("line_no", F.col("r.at"))).withColumn("last_line", F.get("line_no", last))
+    found = held_apart(
+        found, ["doc_id", "pairs", "no", "name", "own", "r", "first_line", "last_line"],
+        units=F.transform(F.slice("lines", F.col("first_line") + 1, F.col("last_line") - F.col("first_line") + 1), bigrams),
+    )
 
     def reaches(unit, own):
         return 200 * F.size(F.array_intersect(unit, own)) >= percent * (F.size(unit) + F.size(own))
@@ -193,18 +225,11 @@ def word_count(line: Column) -> Column:
     return F.when(F.length(plain) > 0, F.size(F.split(plain, " "))).otherwise(0)
 
 
-def line_of(word: Column) -> Column:
-    """The number of the line that holds a word, from the lines' ``sizes``."""
-    start = F.struct(F.lit(0).alias("before"), F.lit(0).alias("line"), F.lit(False).alias("over"))
-    reached = F.aggregate("sizes", start, lambda a, n: F.when(a["over"] | (a["before"] + n > word), F.struct(
-        a["before"].alias("before"), a["line"].alias("line"), F.lit(True).alias("over")
-    )).otherwise(F.struct((a["before"] + n).alias("before"), (a["line"] + 1).alias("line"), F.lit(False).alias("over"))))
-    return reached["line"]
-
-
 def notices(
     docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = THRESHOLD_PERCENT,
-    doc_id: str = "doc_id", text: str = "text", full: tuple[tuple[str, str], ...] = FULL_TEXTS,
+    doc_id: str = "doc_id", text: str = "text", full: tuple[tuple[str, str], ...] = FULL_TEXTS + SECTIONS,
 ) -> DataFrame:
-    """``scan`` and ``passages``."""
-    return scan(docs, templates, percent, doc_id, text).unionByName(passages(docs, templates, percent, doc_id, text, full))
+    """``scan`` and ``passages``, of the documents that can match anything; these are picked and written once."""
+    rows = with_pairs(docs, checked(templates + full), percent, doc_id, text).select("doc_id", "text")
+    rows = materialize(rows, "licence-suspects")
+    return scan(rows, templates, percent).unionByName(passages(rows, templates, percent, full=full))

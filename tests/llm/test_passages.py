@@ -5,7 +5,7 @@ import re
 import textwrap
 from collections import Counter
 
-from rateweave.llm import catalog, licences
+from rateweave.llm import catalog, licence_texts, licences
 
 CODE = "\n".join(f"int value{k} = compute{k}(input{k}, {k}); // step number {k}" for k in range(40))
 PROSE = " ".join(f"word{k}" for k in range(35))
@@ -91,3 +91,24 @@ def test_notices_that_lines_show_are_not_given_twice(spark):
     assert licences.passages(docs, full=()).count() == 0
     plan = licences.notices(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_any_part_of_a_long_licence_file_is_found(spark):
+    for name in licence_texts.LONG_TEXTS:
+        sections = [body for n, body in licences.SECTIONS if n == name]
+        assert re.sub(r"\s", "", "".join(sections)) == re.sub(r"\s", "", licence_texts.long_text(name))
+    rows = [(k, f"{CODE}\n{body}\n{CODE}") for k, (_, body) in enumerate(licences.SECTIONS)]
+    found = {(r.doc_id, r.licence) for r in licences.notices(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(k, name) for k, (name, _) in enumerate(licences.SECTIONS)} <= found
+
+
+def test_many_notices_in_one_long_document(spark):
+    """As many copies as there are, each found once and in its line; a file of nothing but notices stays feasible."""
+    own = textwrap.fill(FULL["MIT"], 78) + "\n\n"
+    step = own.count("\n")
+    docs = spark.createDataFrame([(1, own * 150)], "doc_id long, text string")
+    by_template = {}
+    for r in licences.passages(docs).where("licence = 'MIT'").collect():
+        by_template.setdefault(r.template, []).append((r.line_no, r.dice))
+    whole = len(licences.TEMPLATES) + [name for name, _ in licences.FULL_TEXTS].index("MIT")
+    assert sorted(by_template[whole]) == [(k * step, 1.0) for k in range(150)]
