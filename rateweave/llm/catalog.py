@@ -48,9 +48,10 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write all pages to archives, index the captures, and read every record back through the index."""
-    directory = warc.write_index(warc.write(table(spark, sf_dir, "pages")))
-    records = warc.read(directory).select(
+    """Write all pages to archives, index the captures, look every page up in the index, and read its record."""
+    pages = table(spark, sf_dir, "pages")
+    directory = warc.write_index(warc.write(pages))
+    records = warc.records(warc.find(directory, pages)).select(
         "page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("sha1")
     )
     records = materialize(records, "records")

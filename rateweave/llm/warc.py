@@ -5,9 +5,13 @@ pages with equal payloads of at least ``LEAST_REVISIT_BYTES`` bytes, that with t
 ``revisit`` records that name it and have no payload. A task writes files of its own name, up to about ``FILE_BYTES`` each.
 
 Index. The captures' keys are URLs with the host reversed (``com,example)/path``) followed by the id. They are sorted by range over
-partitions, and each partition writes its lines in compressed blocks of ``BLOCK_LINES``. The directory, a table with one row
-per block (first key, file, byte range), is written by Spark. A lookup finds the last block that can hold a
-key by binary search in the directory, reads that block's byte range, searches in it, and reads the record's byte range.
+partitions, and each partition writes its lines in compressed blocks of ``BLOCK_LINES``, and beside them the sparse directory of its
+blocks (first key and id, byte range). The directory of all blocks is also a table written by Spark.
+
+Lookup. ``find`` sorts the wanted keys by range, and each task searches for its own: by binary search first among the files' first
+keys, then in that file's directory for the last block that can hold the key, then in the block, of which it reads the byte range.
+``records`` reads the byte ranges of the captures found. A task holds the first keys of the files (one for each partition that wrote the
+index), one file's directory and one block at a time.
 
 Both writers return tables written by Spark's own commit, so that files of lost or repeated tasks don't count. The folder
 must be reachable by pyarrow's file systems (file://, hdfs://, s3:// and others).
@@ -43,9 +47,11 @@ TASK_BLOCKS = 8
 TASK_BYTES = 4 << 20
 MOST_TASKS = 100_000
 LEVEL = 4
+#: What the file with an index file's sparse directory has at the end of its name.
+SPARSE = ".directory"
 DATE = "2024-01-01T00:00:00Z"
 CAPTURES = "key string, page_id long, record_type string, path string, start long, size long"
-DIRECTORY = "first_key string, path string, start long, size long, lines long"
+DIRECTORY = "first_key string, first_id long, path string, start long, size long, lines long"
 CAPTURE_KINDS = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
 
 
@@ -173,7 +179,7 @@ def write_index(captures: DataFrame) -> DataFrame:
                 nonlocal at, open_lines
                 data = packer.compress("\n".join(open_lines).encode("utf-8"))
                 out.write(data)
-                done.append((capture_of(open_lines[0])[0], f"{folder}/{name}", at, len(data), len(open_lines)))
+                done.append((*capture_of(open_lines[0])[:2], f"{folder}/{name}", at, len(data), len(open_lines)))
                 at, open_lines = at + len(data), []
 
             for piece in slices(batches):
@@ -183,8 +189,10 @@ def write_index(captures: DataFrame) -> DataFrame:
                         end_block()
             if open_lines:
                 end_block()
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield batch(done, ["first_key", "path", "start", "size", "lines"], kinds)
+        with files.open_output_stream(f"{base}/{name}{SPARSE}", compression=None) as out:
+            out.write(packer.compress("\n".join(line_of(key, i, "block", *place) for key, i, *place, _ in done).encode("utf-8")))
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        yield batch(done, ["first_key", "first_id", "path", "start", "size", "lines"], kinds)
 
     # keys in byte order, as the binary search compares them; equal keys of a frequent URL are parted by id
     ordered = captures.select("key", "page_id", "record_type", "path", "start", "size")
@@ -199,13 +207,93 @@ def range_of(path: str, start: int, size: int) -> bytes:
         return file.read(size)
 
 
+def unpacked(data: bytes) -> list[str]:
+    return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)).read().decode("utf-8").split("\n")
+
+
 def block_lines(path: str, start: int, size: int) -> list[str]:
-    data = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(range_of(path, start, size))).read()
-    return data.decode("utf-8").split("\n")
+    return unpacked(range_of(path, start, size))
+
+
+def sparse_directory(path: str) -> list[tuple]:
+    """The blocks of an index file, as captures are given, under their first keys."""
+    store, name = pafs.FileSystem.from_uri(path + SPARSE)
+    with store.open_input_file(name) as file:
+        return [capture_of(line) for line in unpacked(file.read())]
+
+
+def place_of(key: str, page_id: int | None) -> tuple[bytes, bool, int]:
+    """The order of the index: keys by their bytes, rows without id first."""
+    return key.encode("utf-8"), page_id is not None, page_id or 0
+
+
+class Searcher:
+    """Finds captures by key and id; keeps the last directory and block that it read."""
+
+    def __init__(self, files: list[tuple]):
+        self.files = sorted((place_of(key, i), path) for key, i, path in files)
+        self.heads = [head for head, _ in self.files]
+        self.path = self.at = None
+
+    def blocks(self, path: str) -> tuple[list, list]:
+        if path != self.path:
+            self.own = sparse_directory(path)
+            self.path, self.firsts = path, [place_of(*b[:2]) for b in self.own]
+        return self.firsts, self.own
+
+    def lines(self, block: tuple) -> tuple[list, list]:
+        if block[3:] != self.at:
+            self.rows = [capture_of(line) for line in block_lines(*block[3:])]
+            self.at, self.places = block[3:], [place_of(*r[:2]) for r in self.rows]
+        return self.places, self.rows
+
+    def find(self, key: str, page_id: int | None) -> Iterator[list[tuple]]:
+        """Captures of the key and id, block by block."""
+        wanted = place_of(key, page_id)
+        # what is equal may begin in the one before the first that starts with it
+        f = max(bisect.bisect_left(self.heads, wanted) - 1, 0)
+        while f < len(self.heads) and self.heads[f] <= wanted:
+            firsts, blocks = self.blocks(self.files[f][1])
+            k = max(bisect.bisect_left(firsts, wanted) - 1, 0)
+            while k < len(firsts) and firsts[k] <= wanted:
+                places, rows = self.lines(blocks[k])
+                yield rows[bisect.bisect_left(places, wanted) : bisect.bisect_right(places, wanted)]
+                k += 1
+            f += 1
+
+
+def find(directory: DataFrame, wanted: DataFrame, url: str = "url", page_id: str = "page_id") -> DataFrame:
+    """The captures of each distinct pair of URL and id in ``wanted``; null is a URL and an id like others."""
+    names, kinds = ["key", "page_id", "record_type", "path", "start", "size"], CAPTURE_KINDS
+
+    def keyed(batches):
+        for part in slices(batches, 4096):
+            keys = [reversed_host_key(u) for u in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), part.column(1)], names=["key", "page_id"])
+
+    asked = wanted.select(F.col(url).cast("string").alias("url"), F.col(page_id).cast("long").alias("page_id"))
+    asked = asked.mapInArrow(keyed, "key string, page_id long").distinct()
+    asked = asked.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    # as many rows as partitions wrote the index
+    files = [tuple(r) for r in directory.groupBy("path").agg(F.min(F.struct("first_key", "first_id")).alias("f")).select("f.*", "path").collect()]
+
+    def run(batches):
+        searcher = Searcher(files)
+        for part in slices(batches):
+            held = []
+            for key, i in zip(*(c.to_pylist() for c in part.columns)):
+                for found in searcher.find(key, i):
+                    held += found
+                    if len(held) >= BLOCK_LINES:
+                        yield batch(held, names, kinds)
+                        held = []
+            yield batch(held, names, kinds)
+
+    return asked.mapInArrow(run, CAPTURES)
 
 
 class Lookup:
-    """Finds captures of single URLs; holds only the sparse directory."""
+    """Finds captures of single URLs outside of jobs; holds the whole sparse directory. For many URLs take ``find``."""
 
     def __init__(self, directory: DataFrame):
         self.blocks = sorted(directory.select("first_key", "path", "start", "size").collect(), key=lambda r: r[0].encode("utf-8"))
@@ -247,7 +335,12 @@ def tasks(amount: int | None, of_task: int) -> int:
 
 
 def read(directory: DataFrame) -> DataFrame:
-    """page_id, url, record_type, refers_to, digest (header) and payload of each record, by the index's byte ranges.
+    """The ``records`` of all captures in the index."""
+    return records(index_captures(directory))
+
+
+def records(captures: DataFrame) -> DataFrame:
+    """page_id, url, record_type, refers_to, digest (header) and payload of each record, by the captures' byte ranges.
 
     The ranges are dealt by file and read in file order, each file opened once in a task.
     """
@@ -274,7 +367,7 @@ def read(directory: DataFrame) -> DataFrame:
         if file is not None:
             file.close()
 
-    ranges = materialize(index_captures(directory).select("path", "start", "size"), "ranges")
+    ranges = materialize(captures.select("path", "start", "size"), "ranges")
     # the rows are tiny, but stand for megabytes: tasks are counted in bytes, and a file's ranges are cut into stretches
     stretch = F.floor(F.col("start") / F.lit(TASK_BYTES))
     n = tasks(ranges.agg(F.sum("size")).first()[0], TASK_BYTES)

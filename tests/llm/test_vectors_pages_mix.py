@@ -111,7 +111,15 @@ def test_archives_and_two_level_index(spark, monkeypatch):
         if headers["WARC-Type"] == "response":
             assert payload == (html or "").encode() and headers["WARC-Payload-Digest"] == warc.payload_digest(payload)
     assert lookup.captures("http://nowhere.example/") == []
+    every = warc.find(directory, pages)
+    assert Counter(map(tuple, every.collect())) == Counter(map(tuple, warc.index_captures(directory).collect()))
+    some = pages.where("page_id % 3 = 0 or page_id is null")
+    wanted = Counter((u, i) for i, u, _ in rows if i is None or i % 3 == 0)
+    found = warc.find(directory, some.unionByName(some).unionByName(spark.createDataFrame([(10**9, rows[0][1]), (0, "http://nowhere.example/")], "page_id long, url string"), allowMissingColumns=True))
+    assert Counter((r.key, r.page_id) for r in found.collect()) == Counter({k: n for k, n in Counter((warc.reversed_host_key(u), i) for (u, i) in wanted.elements()).items()})
+    assert warc.find(directory, pages.limit(0)).count() == 0
     none = warc.write_index(warc.write(pages.limit(0)))
+    assert warc.find(none, pages).count() == 0
     assert warc.read(none).count() == 0 and warc.Lookup(none).captures("http://a.b/") == []
 
 
