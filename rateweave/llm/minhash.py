@@ -11,8 +11,8 @@
    candidates, so that a bucket of n gives n - 1 pairs. They are confirmed on their full sets, and the confirmed
    ones joined to classes.
 4. Rest. The star loses a link between two members that are both unlike the hub. So in buckets whose members are not
-   all in one class afterwards, members of different classes are compared by profiles, in blocks of ``BLOCK_ROWS`` at most: a
-   profile has a byte of checksum for the hashes of each bin. Bins that differ hold at least one hash that is in one
+   all in one class afterwards, members of different classes are compared by profiles, in blocks of about ``BLOCK_ROWS``; those of
+   a bucket's largest class only meet the others. A profile has a byte of checksum for the hashes of each bin. Bins that differ hold at least one hash that is in one
    set only, and similar sets have few such hashes; pairs with more differing bins than that allows are out for certain. Only
    the pairs that are left become rows, and are confirmed on their full sets. So every pair that shares a bucket is linked through others,
    ruled out, or confirmed.
@@ -32,7 +32,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rateweave.llm.common import slices
 from rateweave.llm.graph import components
@@ -193,7 +193,7 @@ def linked(docs: DataFrame, firsts: DataFrame, percent: int, words: int) -> Data
     """The root of each representative that is linked with a smaller one."""
     banded = firsts.where("bands is not null").select("rep", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    live = materialize(banded.join(shared, "bucket"), "buckets")
+    live = materialize(banded.join(shared.select("bucket"), "bucket"), "buckets")
     needed = live.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialize(shingle_sets(docs.join(needed, "doc_id", "left_semi"), words).distinct(), "sets")
 
@@ -207,26 +207,42 @@ def linked(docs: DataFrame, firsts: DataFrame, percent: int, words: int) -> Data
     roots = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
 
     members = live.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("root", "rep"))
-    members = materialize(members.select("bucket", "rep", "class", "members"), "members")
-    unsettled = members.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    members = members.join(unsettled.select("bucket"), "bucket", "left_semi").join(firsts.select("rep", "n", "profile"), "rep")
+    members = materialize(members.select("bucket", "rep", "class"), "members")
+    members = members.join(unsettled(members), "bucket").join(firsts.select("rep", "n", "profile"), "rep")
     left = materialize(confirmed(likely(members, percent).distinct(), sets, percent), "rest-links")
     every = links.unionByName(left)
     return components(every.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("rep"), "root")
 
 
-def likely(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket but different classes that their profiles don't rule out.
+def unsettled(members: DataFrame) -> DataFrame:
+    """The buckets with several classes: bucket, the largest class in it (main), and the numbers of its members (inside) and of all others (outside)."""
+    sizes = members.groupBy("bucket", "class").agg(F.count("*").alias("size"))
+    tops = sizes.groupBy("bucket").agg(F.max(F.struct("size", "class")).alias("top"), F.sum("size").alias("all"))
+    tops = tops.select("bucket", F.col("top.class").alias("main"), F.col("top.size").alias("inside"), (F.col("all") - F.col("top.size")).alias("outside"))
+    return tops.where("outside > 0")
+
 
-    ``members`` has bucket, members (their number in the bucket), rep, class, n and profile. A bucket's members are dealt over
-    blocks by hash, and each two blocks meet in one place.
+def dealt(members: DataFrame) -> DataFrame:
+    """Each member once for each place (bucket, i, j) where its block meets another.
+
+    ``members`` has bucket, main, inside, outside, rep, class, n and profile. The main class of a bucket and the rest are dealt over blocks of their own by
+    hash. Blocks of the rest meet each other and those of the main class, which don't meet among themselves: with x members inside and
+    y outside that makes about y (2 x + y) / ``BLOCK_ROWS`` rows, and x + y at least.
     """
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK_ROWS)).cast("long")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "class", "n", "profile"
-    )
-    met = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    def blocks(rows: str) -> Column:
+        return F.ceil(F.col(rows) / F.lit(BLOCK_ROWS)).cast("long")
+
+    rows = members.withColumn("inner", blocks("inside")).withColumn("outer", blocks("outside"))
+    inside = F.col("class") == F.col("main")
+    block = F.when(inside, F.pmod(F.xxhash64("rep"), "inner")).otherwise(F.col("inner") + F.pmod(F.xxhash64("rep"), "outer"))
+    others = F.sequence(F.when(inside, F.col("inner")).otherwise(F.lit(0).cast("long")), F.col("inner") + F.col("outer") - 1)
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(others))
+    return rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "class", "n", "profile")
+
+
+def likely(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket but different classes that their profiles don't rule out; ``members`` as in ``dealt``."""
+    met = dealt(members).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def run(batches):
         key, held = None, []

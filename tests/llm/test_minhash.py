@@ -134,3 +134,38 @@ def test_components(spark):
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_a_large_family_is_dealt_once_to_an_outlier(spark):
+    """Members of a bucket's largest class don't meet among themselves; all pairs of different classes meet in one place."""
+    columns = "bucket long, rep long, class long, n long, profile binary"
+    rows = [(1, k, 0, 9, b"") for k in range(5000)] + [(1, 6000, 6000, 9, b"")]
+    rows += [(2, k, 10_000 + k % 3, 9, b"") for k in range(2000)] + [(3, k, 5, 9, b"") for k in range(50)]
+    members = spark.createDataFrame(rows, columns)
+    members = members.join(minhash.unsettled(members), "bucket")
+    dealt = minhash.dealt(members).select("bucket", "i", "j", "rep", "class").toPandas()
+    assert set(dealt.bucket) == {1, 2}
+    first = dealt[dealt.bucket == 1]
+    # the outlier goes to each block of the family and to its own
+    assert len(first) == 5000 + -(-5000 // minhash.BLOCK_ROWS) + 1 and (first.groupby("rep").size().drop(6000) == 1).all()
+    x, y = 667, 1333
+    assert x + y <= (dealt.bucket == 2).sum() <= (2 * x + y) * y / minhash.BLOCK_ROWS + 4 * (x + y)
+    places = {}
+    for r in dealt.itertuples():
+        if r.bucket == 2:
+            places.setdefault((r.i, r.j), []).append((r.rep, r[5]))
+    met = {(a, b) for held in places.values() for a, c in held for b, d in held if a < b and c != d}
+    assert len(met) == 667 * 667 + 2 * 667 * 666
+
+
+def test_links_across_classes_in_many_blocks(spark, monkeypatch):
+    """With blocks of four rows the classes are those of brute force."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 4)
+    random_state, base, rows = random.Random(11), [f"w{k}" for k in range(60)], []
+    for k in range(120):
+        words = list(base)
+        for _ in range(random_state.randrange(5)):
+            words[random_state.randrange(60)] = f"x{random_state.randrange(8)}"
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in minhash.classes(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA), 85).collect()}
+    assert got == brute_classes(rows, 85)
