@@ -56,6 +56,39 @@ def test_ties_bad_vectors_and_small_tables(spark):
     assert ann.search(ann.build_index(df), none, 10).count() == 0
 
 
+def test_many_blocks_of_the_registered_vectors_are_searched_in_part(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 128)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    index, asked = ann.build_index(df), df.where("vec_id % 100 = 0")
+    sizes = [r.rows for r in index.select("rows").collect()]
+    assert sum(sizes) == 2000 and len(sizes) >= 16 and max(sizes) <= 160
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    wanted = {i: {j for j, _ in near} for i, near in brute_nearest(rows, [r for r in rows if r[0] % 100 == 0], 10).items()}
+    got = defaultdict(set)
+    for r in ann.search(index, asked).collect():
+        got[r.query_id].add(r.vec_id)
+    assert sum(len(got[i] & near) for i, near in wanted.items()) >= 0.9 * sum(map(len, wanted.values()))
+    verified = ann.answers(index, asked, 11).groupBy("query_id").sum("verified").collect()
+    share = sum(r[1] for r in verified) / len(verified) / 2000
+    assert 0.02 < share < 0.9
+
+
+def test_equal_vectors_repeated_ids_and_heavy_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 3)
+    rows = [(k, [1.0, 2.0]) for k in range(1, 90)] + [(0, [1.0, 2.0])] * 2 + [(0, [4.0, 6.0]), (200, [9.0, 9.0]), (300, [9.0, 9.0])]
+    df = spark.createDataFrame([(*r, "", "") for r in rows], VECTORS)
+    index = ann.build_index(df)
+    assert max(r.rows for r in index.select("rows").collect()) <= 32
+    got = defaultdict(list)
+    for r in ann.search(index, df, 3).orderBy("query_id", "rank", "score").collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    # either equal row of id 0 has the other as its nearest; the third row of that id asks for itself
+    assert got[0] == [(1, 0, 0.0), (1, 0, 0.0), (1, 0, 5.0), (2, 1, 0.0), (2, 1, 0.0), (2, 0, 5.0), (3, 2, 0.0), (3, 2, 0.0), (3, 1, 5.0)]
+    assert got[1] == [(1, 0, 0.0), (2, 0, 0.0), (3, 2, 0.0)] and got[50] == [(1, 0, 0.0), (2, 0, 0.0), (3, 1, 0.0)]
+    assert got[200][0] == (1, 300, 0.0) and got[300][0] == (1, 200, 0.0) and len(got) == 92
+
+
 def test_chi_square():
     assert abs(ann.chi_square_cdf(ann.chi_square_quantile(0.95, 8), 8) - 0.95) < 1e-9
     assert abs(ann.chi_square_quantile(0.95, 8) - 15.507313) < 1e-4
@@ -66,7 +99,7 @@ def test_incremental_search_stops_early():
     centres = rng.standard_normal((40, 16)) * 20
     points = np.vstack([c + rng.standard_normal((100, 16)) for c in centres])
     projected = points @ ann.projection(16)
-    tree = ann.KdTree(projected)
+    tree = ann.KdTree.over(projected)
     assert sorted(tree.order.tolist()) == list(range(4000))
     gaps = [gap for gap, _, _ in tree.leaves(projected[0])]
     assert gaps == sorted(gaps) and gaps[0] == 0
