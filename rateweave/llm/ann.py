@@ -28,6 +28,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ MOST_CELLS = 4096
 QUERY_ROWS = 16_384
 #: Each block has a task of its own, up to this many tasks.
 MOST_TASKS = 100_000
-LEAF = 64
+LEAF = 128
 CONFIDENCE = 0.95
 SEED = 7
 
@@ -78,6 +79,10 @@ class KdTree:
     def __init__(self, order: np.ndarray, nodes: list[tuple]):
         self.order, self.nodes = order, nodes
 
+    @cached_property
+    def corners(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.array([n[k] for n in self.nodes]) for k in (4, 5))
+
     @classmethod
     def over(cls, points: np.ndarray, leaf: int = LEAF) -> KdTree:
         tree = cls(np.arange(len(points)), [])
@@ -88,7 +93,7 @@ class KdTree:
     @classmethod
     def stored(cls, data: bytes) -> KdTree:
         """A tree over points that are in its order."""
-        return cls(np.empty(0, np.int64), [tuple(n[f] for f in NODE.names) for n in np.frombuffer(data, NODE)])
+        return cls(np.empty(0, np.int64), np.frombuffer(data, NODE).tolist())
 
     def to_bytes(self) -> bytes:
         return np.array(self.nodes, NODE).tobytes()
@@ -110,16 +115,18 @@ class KdTree:
 
     def leaves(self, point: np.ndarray) -> Iterator[tuple[float, int, int]]:
         """Leaves as (squared distance of the box, start, end), nearest first."""
-        heap = [(0.0, 0)] if self.nodes else []
+        if not self.nodes:
+            return
+        gaps = box_gap(point, *self.corners).tolist()
+        heap = [(0.0, 0)]
         while heap:
             distance, at = heapq.heappop(heap)
             start, end, left, right, _, _ = self.nodes[at]
             if left < 0:
-                yield distance, int(start), int(end)
+                yield distance, start, end
                 continue
-            for child in (int(left), int(right)):
-                _, _, _, _, low, high = self.nodes[child]
-                heapq.heappush(heap, (float(box_gap(point, low, high)), child))
+            for child in (left, right):
+                heapq.heappush(heap, (gaps[child], child))
 
 
 def box_gap(point: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -314,16 +321,22 @@ class Block:
         self.values = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dims"])
         self.points = np.frombuffer(row["points"], "<f8").reshape(-1, PROJECTED)
         self.tree = KdTree.stored(row["tree"])
+        self.squares = np.einsum("ij,ij->i", self.values, self.values)
 
     def nearest(self, query: np.ndarray, point: np.ndarray, k: int, limit: float, bound: float) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids and distances of the ``k`` nearest found within ``bound``, and how many vectors were verified."""
         best_d, best_i, verified = np.empty(0), np.empty(0, np.int64), 0
+        square = query @ query
         for gap, start, end in self.tree.leaves(point):
             if gap > limit * bound * bound:
                 break
             apart = self.points[start:end] - point
-            at = start + np.flatnonzero(np.einsum("ij,ij->i", apart, apart) <= limit * bound * bound)
-            verified += len(at)
+            taken = ~(np.einsum("ij,ij->i", apart, apart) > limit * bound * bound)
+            verified += int(np.count_nonzero(taken))
+            # distances by inner products rule out most; what their rounding leaves open is worked out from differences
+            sizes = self.squares[start:end] + square
+            taken &= ~(sizes - 2 * (self.values[start:end] @ query) > bound * bound + 1e-9 * sizes)
+            at = start + np.flatnonzero(taken)
             difference = self.values[at] - query
             distance = np.sqrt(np.einsum("ij,ij->i", difference, difference))
             near = distance <= bound
