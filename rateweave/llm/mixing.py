@@ -3,7 +3,8 @@
 Temperature. A source with the share p of all tokens gets the weight p**a / sum(p**a). The exponent a is bisected: it is
 the smallest a in [0, 1] at which the weights' entropy is at most ``entropy_share`` of its maximum (the logarithm of the number of
 sources) and no source is repeated more than ``max_repeats`` times. a = 1 leaves the shares as they are, a = 0 makes them equal; both
-the entropy and the most repeated source fall as a grows.
+the entropy and the most repeated source fall as a grows. Where no exponent up to 1 meets both limits (shares that are more even than the entropy limit
+allows, or a budget above ``max_repeats`` passes), it is 1, the nearest to both: sources are never skewed beyond their shares.
 
 Budget. ``budget_tokens`` are dealt to the sources by weight. Without a budget it is the smallest at which every
 source is passed in full at least once, so that no document is left out.
@@ -21,7 +22,7 @@ is aggregated on the executors; the bisection only gets sums over it.
 Tokens are words ([^\\x20\\x09-\\x0D]+) unless a column with counts is named. Defined results: null sources are
 a source of their own; null and empty texts have no tokens and ride along with the documents around them; a
 source without any tokens is passed once. Documents with the same id and text follow one another. Documents without id are kept.
-Empty tables give empty results. Columns other than id, source and text are ignored.
+Texts may be of any length. Empty tables give empty results. Columns other than id, source and text are ignored.
 """
 
 from __future__ import annotations

@@ -12,16 +12,18 @@ sample, the selected features and their weights are the only things that reach t
 have fixed bounds. Selection counts are summed on the executors. Scoring covers every document and its whole text.
 
 Labels that only say toxic or not become three grades: 0 is not toxic; toxic rows are graded 1 or 2 by whether
-the share of their words with a telling n-gram is below or at least ``DENSE_SHARE``.
+the share of their words with a telling n-gram is below or at least ``DENSE_SHARE``. So only the step to grade 1 is learned from labels; grade 2 is a
+rule on a feature that the model sees.
 
 Defined results: null, empty and wordless texts have no features and score by the thresholds alone. Labels without id or
-value are ignored; if an id has several labels, the greatest counts. Without labels, or with labels of one kind only,
+value are ignored, as are those without a document; if an id has several labels, the greatest counts. Length has no limit: a text is read word by word. Without labels, or with labels of one kind only,
 nothing is rejected and the severity is that kind's. Repeated rows are scored one by one. A column that has the name of
 an output is replaced. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from dataclasses import dataclass
@@ -37,8 +39,9 @@ from rateweave.session import materialize
 SAMPLE_ROWS = 12_000
 HASH_BITS = 20
 SELECTED = 4096
-#: An n-gram is used if it is in so many toxic rows, at least and as a share of all of them.
-LEAST_ROWS, LEAST_SHARE = 3, 0.01
+#: An n-gram is used if it is in so many toxic rows, whatever their number, and if the lower bound of the logarithm of its ratio of
+#: shares, so many standard errors down, is still above a ratio of ``LEAST_RATIO``.
+LEAST_ROWS, ERRORS, LEAST_RATIO = 3, 2.0, 2.0
 NGRAMS = (4, 5)
 WORD = re.compile(r"[^\W\d_]+")
 #: Upper ends of the bands of the share of words with a telling n-gram; none at all has no band.
@@ -143,8 +146,9 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, size: int, l2: float
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """text and label of at most ``rows`` labelled documents. The ids are broadcast: ``rows`` bounds them."""
-    known = labels.where("doc_id is not null and label is not null")
-    ids = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    there = docs.select("doc_id").join(known, "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"))
+    ids = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label")
 
 
@@ -178,8 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         return Model([], np.zeros(len(SHARES) + 1), np.full(2, -700.0 if True in sizes else 700.0))
     # how much more often toxic rows hold the n-gram, weighted by how many do
     n0, n1 = (F.col("n0") + 0.5) / (sizes[False] + 1), (F.col("n1") + 0.5) / (sizes[True] + 1)
-    least = max(LEAST_ROWS, LEAST_SHARE * sizes[True])
-    telling = feature_counts(sample).where((F.col("n1") >= least) & (n1 >= 8 * n0))
+    error = F.sqrt(1 / (F.col("n0") + 0.5) + 1 / (F.col("n1") + 0.5))
+    telling = feature_counts(sample).where((F.col("n1") >= LEAST_ROWS) & (F.log(n1 / n0) - ERRORS * error >= math.log(LEAST_RATIO)))
     chosen = telling.orderBy((F.col("n1") * F.log(n1 / n0)).desc(), "feature").limit(SELECTED).select("feature")
     chosen = sorted(r[0] for r in chosen.collect())
     features = Features(chosen)

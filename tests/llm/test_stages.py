@@ -25,6 +25,15 @@ def test_only_the_duplicate_text_of_an_id_goes(spark):
     assert near_duplicates(spark, [(5, a), (5, b), (None, a), (None, b), (40, a)]) == [(0, a), (0, b), (5, a), (5, b)]
 
 
+def test_of_rows_that_repeat_id_and_text_the_same_one_stays_in_any_order(spark):
+    rows = [(3, words("a"), "en", source, n) for source, n in (("web", 5), ("books", 7), (None, 9), ("books", 2))] + [(4, None, None, None, None)] * 3
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, SCHEMA).repartition(3)
+        assert sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())) == [(3, words("a"), "en", "books", 2), rows[-1]]
+    none = spark.createDataFrame([], SCHEMA)
+    assert corpus_pipeline.drop_near_duplicates(spark, none, "").count() == 0
+
+
 def test_the_mix_comes_in_its_order_of_blocks_with_every_repeated_row(spark):
     rows = [(k, words(f"t{k}x", 5 + k % 7), "en", "big" if k % 5 else "small", k) for k in range(120)]
     rows += [rows[0]] * 2 + [rows[1]] + [(None, "no id", "en", None, 1)] * 2 + [(7, "other text", "en", "big", 1), (7, "other text", "en", "small", 1)]

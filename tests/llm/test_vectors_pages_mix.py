@@ -240,3 +240,11 @@ def test_mix_small_cases(spark):
     assert 1900 < sum(drawn.values()) < 2400
     again = [tuple(r) for r in mixing.mix(docs, 0.9, 3.0).orderBy("block", "place").collect()]
     assert again == [tuple(r) for r in mixing.mix(docs.repartition(7), 0.9, 3.0).orderBy("block", "place").collect()]
+
+
+def test_shares_too_even_for_the_entropy_limit_stay_as_they_are(spark):
+    even = spark.createDataFrame([("a", 100), ("b", 100), ("c", 100)], "source string, tokens long")
+    assert mixing.exponent(even, 0.95, 2.0) == 1.0
+    docs = spark.createDataFrame([(k, "abc"[k % 3], "five words in each text") for k in range(30)], "doc_id long, source string, text string")
+    got = mixing.mix(docs, entropy_share=0.95).collect()
+    assert sorted(r.doc_id for r in got) == list(range(30)) and all(abs(r.weight - 1 / 3) < 1e-12 for r in got)
