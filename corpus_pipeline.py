@@ -43,11 +43,11 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five words, similarity of 0.8): that with the smallest id.
 
-    Rows that repeat an id and a text are one document, whatever their other columns; different texts under one id are documents of their
-    own, by the order of their md5.
+    Rows that repeat an id and a text are one document: the row whose other columns come first, written as JSON, stays. Different texts under
+    one id are documents of their own, by the order of their md5.
     """
     texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(mixing.text_key(F.col("text"))).alias("low"), F.max(mixing.text_key(F.col("text"))).alias("high"))
-    rows = docs.dropDuplicates(["doc_id", "text"])
+    rows = docs.groupBy("doc_id", "text").agg(F.min_by(F.struct(*docs.columns), _written(docs)).alias("row")).select("row.*")
     if texts.where("low < high").isEmpty():
         gone = minhash.classes(docs, percent=80).where("not kept").select("doc_id").distinct()
         return rows.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -70,11 +70,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
     mixed = mixed.withColumn("_copy", F.row_number().over(Window.partitionBy("_key", "_pass").orderBy("_block", "_place")))
     own = docs.withColumn("_key", _identity("doc_id", "source", mixing.text_key(F.col("text"))))
-    own = own.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+    own = own.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy(_written(docs))))
     placed = own.join(mixed, ["_key", "_copy"]).repartitionByRange("_block", "_place").sortWithinPartitions("_block", "_place", "_copy")
     return placed.select(*docs.columns)
 
 
+def _written(docs: DataFrame) -> Column:
+    """The columns besides id and text as JSON: an order among rows that repeat these."""
+    return F.to_json(F.struct(F.lit(0).alias("_"), *(c for c in docs.columns if c not in ("doc_id", "text"))), {"ignoreNullFields": "false"})
+
+
 def _identity(doc_id: str, source: str, text_key: Column) -> Column:
     """What the mix knows a document by; nulls are left out of the JSON, so that they equal no text."""
     key = F.struct(F.col(doc_id).cast("long").alias("i"), F.col(source).cast("string").alias("s"), text_key.alias("t"))
