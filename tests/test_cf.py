@@ -111,6 +111,20 @@ def test_sums_of_tenths_are_exact(spark):
         assert {r.lo: r.rule for r in got} == {1: "no_variance", 3: "no_covariance"}
 
 
+def test_correlations_of_whole_stars_have_no_trace_of_the_units(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for k in range(400):
+        both = [(rng.randint(1, 5), rng.randint(1, 5)) for _ in range(rng.randint(4, 9))]
+        n, sx, sy = len(both), sum(x for x, _ in both), sum(y for _, y in both)
+        sxy, sxx, syy = sum(x * y for x, y in both), sum(x * x for x, _ in both), sum(y * y for _, y in both)
+        rows.append((k, n, 1000 * sx, 1000 * sy, 10**6 * sxy, 10**6 * sxx, 10**6 * syy))
+        var_x, var_y = n * sxx - sx * sx, n * syy - sy * sy
+        want[k] = max(-1.0, min(1.0, (n * sxy - sx * sy) / (var_x**0.5 * var_y**0.5))) if var_x and var_y else None
+    df = cf.with_spread(spark.createDataFrame(rows, "k int, n long, sx long, sy long, sxy long, sxx long, syy long"))
+    assert {r.k: r.r for r in df.select("k", cf.pearson().alias("r")).collect()} == want  # to the last bit
+
+
 def _ladder(spark, pairs_of_ratings, mean=3.0):
     """Rule and weight for two items given each co-rater's pair of ratings."""
     rows = []
