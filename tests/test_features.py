@@ -134,6 +134,16 @@ def test_training_frame_has_all_rows(spark, sources):
     assert sorted(r.label for r in out.collect()) == [1, 2, 2, 3, 4, 5]
 
 
+def test_friends_are_joined_while_rows_are_narrow(spark, sources):
+    val = spark.createDataFrame([(1, 1, "2.0")], "user_id long, item_id long, stars string")
+    out = features.training_frame(
+        val, sources, features.feature_tables(sources), rating_table(sources.reviews)
+    )
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    outermost = next(line for line in plan.splitlines() if "Join LeftOuter" in line)
+    assert "item_id" in outermost and "user_id" not in outermost
+
+
 def test_last_rating_wins(spark):
     rows = [(1, 1, 2.0, 1), (1, 1, 5.0, 3), (1, 1, 4.0, 2), (2, 1, 1.0, 1)]
     df = spark.createDataFrame(rows, "user_id long, item_id long, stars double, ord int")
