@@ -232,3 +232,16 @@ def test_members_in_long_form(spark):
     rows = group_members(table, "user_id", "item_id").collect()
     assert sorted(r.item_id for r in rows if r.user_id == 1) == list(range(200))
     assert [(r.item_id, r.copies) for r in rows if r.user_id == 2] == [(1, 2)]
+
+
+def test_large_tables_are_dealt_by_their_rows(spark, monkeypatch):
+    from rateweave import session
+
+    table = rating_table(_events(spark, [(u, i, 3) for u in range(20) for i in range(10)] + [(1, 1, 4)]), ["ord"])
+    few = group_members(table, "item_id", "user_id")
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 20)
+    many = group_members(table, "item_id", "user_id")
+    assert "RepartitionByExpression" not in few._jdf.queryExecution().optimizedPlan().toString()
+    assert many.rdd.getNumPartitions() == 10  # more than the session's 4
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+    assert session.spread(table, "item_id", rows=80).rdd.getNumPartitions() <= 4
