@@ -15,6 +15,7 @@ columns don't matter. A column that has the name of an output is replaced.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
@@ -215,7 +216,19 @@ class Bpe:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The packed ids of each text. Words that are not remembered are encoded together."""
+        """The packed ids of each text. Words that are not remembered are encoded together.
+
+        None of the many short-lived lists is in a cycle, so the collector of cycles rests meanwhile.
+        """
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_all(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_all(self, texts: list[str | None]) -> list[bytes]:
         parts = [self.parts(text) for text in texts]
         self.learn(set().union(*(pieces for own in parts for kind, pieces in own if kind == "pieces")))
         return [

@@ -139,3 +139,17 @@ def test_only_requested_frames_are_read_and_damage_is_found(tmp_path, monkeypatc
 def test_many_long_fragments(own, library):
     text = "\n".join("acgt" * 17 + f"{'ac' * (k % 7)}" for k in range(300))
     assert ids(own.encode_all([text])[0]) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_the_cycle_collector_rests_while_texts_are_encoded(own, monkeypatch):
+    import gc
+
+    seen = []
+    parts = own.parts
+    monkeypatch.setattr(own, "parts", lambda text: seen.append(gc.isenabled()) or parts(text))
+    assert gc.isenabled()
+    own.encode_all(["one text", None])
+    assert seen == [False, False] and gc.isenabled()
+    with pytest.raises(TypeError):
+        own.encode_all([3])
+    assert gc.isenabled()
