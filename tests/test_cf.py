@@ -245,3 +245,20 @@ def test_large_tables_are_dealt_by_their_rows(spark, monkeypatch):
     assert many.rdd.getNumPartitions() == 10  # more than the session's 4
     assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
     assert session.spread(table, "item_id", rows=80).rdd.getNumPartitions() <= 4
+
+
+def test_order_lines_are_dealt_by_their_rows(spark, monkeypatch):
+    import os
+
+    from rateweave import session
+    from rateweave.catalog.inputs import Inputs
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no tables")
+    few = Inputs(spark, data).bag()
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 500)
+    many = Inputs(spark, data).bag()
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (few, many)]
+    assert [plan.count("RepartitionByExpression") for plan in plans] == [0, 2]
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
