@@ -4,7 +4,8 @@ A text is encoded piece by piece. Special tokens are cut out first, then the tex
 and split into words as the vocabulary file says. Within a word, two neighbouring bytes that
 stand side by side in no vocabulary token can never be merged, nor can anything across them: there
 the word is cut for certain. The fragments between these cuts are encoded on their own, by lowest
-merge rank and leftmost first, and their ids are joined.
+merge rank and leftmost first, and their ids are joined. Texts are handled many at a time: they are cut into words as one array of
+characters, each different word is encoded once, and its ids are copied to all its places.
 
 A vocabulary is a file of bounded size (``MAX_VOCABULARY_BYTES``), read on the driver and broadcast.
 
@@ -21,16 +22,21 @@ import json
 import re
 import struct
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from rateweave.llm.common import with_python_columns
 
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Words, and pieces between blanks, whose ids a task remembers. The memory is bounded; what is forgotten is encoded again.
+#: Characters that are encoded together, and bytes of rows that a task takes at a time for it. They bound memory only.
+RUN_CHARACTERS = 1 << 22
+RUN_BYTES = 4 << 20
+#: Words and pieces between blanks of texts with unusual characters whose ids a task remembers. The memory is bounded; what is forgotten is encoded again.
 REMEMBERED_WORDS = 1 << 19
 REMEMBERED_PIECES = 1 << 18
 #: Below this code point, NFC leaves every character alone, and lower case is the same everywhere.
@@ -38,6 +44,12 @@ PLAIN_BELOW = 0x180
 #: Fragments of this many symbols are merged one by one with a heap, shorter ones side by side. Both merge alike.
 HEAP_FROM = 64
 NO_MERGE = 1 << 62
+#: Characters that need the tokenizers library's own tables, and those that mark the ends of texts, which must not be in one.
+UNUSUAL = f"[\x1c-\x1f\u0130{chr(PLAIN_BELOW)}-\U0010ffff]"
+END = "\x1c"
+BLANK, LETTER, NUMBER, OTHER = range(4)
+#: Normal forms and lower case never reach across these.
+BLANKS = re.compile("[\t-\r ]+")
 SPACES = "\t\n\x0b\x0c\r \x85\xa0"
 SUFFIX = "</w>"
 
@@ -49,16 +61,27 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
-def plain_words() -> re.Pattern:
-    """The file's word pattern for texts with characters below ``PLAIN_BELOW`` only."""
-    kinds = {"L": "", "N": ""}
-    for c in map(chr, range(PLAIN_BELOW)):
-        kind = unicodedata.category(c)[0]
-        if kind in kinds:
-            kinds[kind] += c
-    letters, numbers = kinds["L"], kinds["N"]
-    # the lower case of U+0130 holds U+0307, a mark: neither letter nor number
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACES}{letters}{numbers}]+")
+def kinds() -> np.ndarray:
+    """The kind of each character below ``PLAIN_BELOW`` in the file's word pattern."""
+    kind = {"L": LETTER, "N": NUMBER}
+    return np.array([BLANK if c in SPACES + END else kind.get(unicodedata.category(c)[0], OTHER) for c in map(chr, range(PLAIN_BELOW))], np.uint8)
+
+
+def word_starts(text: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where the words of lower-case characters begin, by the file's word pattern; two blanks must stand at the end.
+
+    A word is a run of letters, one number or a run of other characters; an apostrophe on its own takes some letters after it along.
+    """
+    first = (np.diff(kind, prepend=BLANK) != 0) | (kind == NUMBER)
+    at = np.flatnonzero(first & (text == ord("'")))
+    after, second = text[at + 1], text[np.minimum(at + 2, len(text) - 1)]
+    one = np.isin(after, [*map(ord, "stmd")])
+    two = (np.isin(after, [*map(ord, "rv")]) & (second == ord("e"))) | ((after == ord("l")) & (second == ord("l")))
+    first[at[one | two] + 1] = False
+    for short, length in ((one, 2), (two, 3)):
+        end = at[short] + length
+        first[end] |= kind[end] == LETTER
+    return np.flatnonzero(first & (kind != BLANK))
 
 
 class PairTable:
@@ -119,11 +142,9 @@ class Bpe:
         self.pairs = PairTable(self.ranks)
         self.joined = self.neighbours(vocabulary)
         self.find_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.find_words = plain_words()
-        # str.split() takes \x1c-\x1f for blanks, the file's pattern does not
-        self.unusual = re.compile(f"[^\\x00-\\x1b\\x20-{chr(PLAIN_BELOW - 1)}]")
+        self.kinds = kinds()
         self.library = None
-        self.words: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def neighbours(self, vocabulary: dict[str, int]) -> np.ndarray:
@@ -142,54 +163,66 @@ class Bpe:
         """The packed ids of each of many words."""
         if not words:
             return []
-        text = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        ids, counts = self.encode_bytes(np.frombuffer(b"".join(words), np.uint8), np.cumsum(np.fromiter(map(len, words), np.int64, len(words))))
+        packed, stops = ids.astype("<u4").tobytes(), 4 * np.cumsum(counts)
+        return [packed[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist())]
+
+    def encode_bytes(self, text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words that stand one after another, none of them empty, and how many each word has."""
         last = np.zeros(len(text), bool)
         last[ends - 1] = True
         ids = np.where(last, self.of_last[text], self.of_byte[text])
-        word = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
         cut = last.copy()
         cut[:-1] |= ~self.joined[text[:-1], text[1:] + 256 * last[1:]]
         fragment = np.cumsum(cut) - cut
-        ids, word = self.merge(ids, fragment, word)
-        counts = np.bincount(word, minlength=len(words))
-        packed, stops = ids.astype("<u4").tobytes(), 4 * np.cumsum(counts)
-        return [packed[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist())]
-
-    def merge(self, ids: np.ndarray, fragment: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, places = self.merge(ids, fragment)
+        word = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[places]
+        return ids, np.bincount(word, minlength=len(ends))
+
+    def beside(self, ids: np.ndarray, fragment: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The merge rank of each of these symbols with the next one of its fragment."""
+        found = np.full(len(places), NO_MERGE, np.int64)
+        inner = np.flatnonzero(fragment[places] == fragment[np.minimum(places + 1, len(ids) - 1)])
+        inner = inner[places[inner] + 1 < len(ids)]
+        at = places[inner]
+        found[inner] = self.pairs(ids[at], ids[at + 1])
+        return found
+
+    def merge(self, ids: np.ndarray, fragment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge all fragments at once, one merge in each per step: lowest rank first, leftmost among equals.
 
-        Long fragments are merged one by one. Returns ids and words in their order.
+        Long fragments are merged one by one. Returns ids and, in ascending order, a place among the given ones for each, in the same fragment.
         """
         order = np.arange(len(ids))
-        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         sizes = np.bincount(fragment)
         ends = np.cumsum(sizes)  # fragments stand one after another
         for f in np.flatnonzero(sizes >= HEAP_FROM):
             start = ends[f] - sizes[f]
             merged = np.array(self.merge_long(ids[start : ends[f]].tolist()))
-            done.append((merged, word[start : start + len(merged)], order[start : start + len(merged)]))
+            done.append((merged, order[start : start + len(merged)]))
         rest = sizes[fragment] < HEAP_FROM
-        ids, fragment, word, order = ids[rest], fragment[rest], word[rest], order[rest]
+        ids, fragment, order = ids[rest], fragment[rest], order[rest]
+        found = self.beside(ids, fragment, np.arange(len(ids)))
         while len(ids):
             starts = np.flatnonzero(np.diff(fragment, prepend=-1))
-            found = np.full(len(ids), NO_MERGE, np.int64)
-            inner = np.flatnonzero(fragment[:-1] == fragment[1:])
-            found[inner] = self.pairs(ids[inner], ids[inner + 1])
-            best = np.minimum.reduceat(found, starts)
-            best = np.repeat(best, np.diff(starts, append=len(ids)))
+            best = np.repeat(np.minimum.reduceat(found, starts), np.diff(starts, append=len(ids)))
             going = best != NO_MERGE
-            done.append((ids[~going], word[~going], order[~going]))
-            ids, fragment, word, order, found, best = (x[going] for x in (ids, fragment, word, order, found, best))
+            done.append((ids[~going], order[~going]))
+            ids, fragment, order, found, best = (x[going] for x in (ids, fragment, order, found, best))
             at = np.flatnonzero(found == best)
             at = at[np.diff(fragment[at], prepend=-1) != 0]
             ids[at] = best[at] & 0xFFFFFFFF
             left = np.ones(len(ids), bool)
             left[at + 1] = False
-            ids, fragment, word, order = ids[left], fragment[left], word[left], order[left]
-        ids, word, order = (np.concatenate(x) for x in zip(*done)) if done else (ids, word, order)
+            ids, fragment, order, found = (x[left] for x in (ids, fragment, order, found))
+            # Only the merged symbols and those before them have another neighbour now.
+            at -= np.arange(len(at))
+            changed = np.concatenate([at, at[at > 0] - 1])
+            found[changed] = self.beside(ids, fragment, changed)
+        ids, order = (np.concatenate(x) for x in zip(*done)) if done else (ids, order)
         sort = np.argsort(order)
-        return ids[sort], word[sort]
+        return ids[sort], order[sort]
 
     def merge_long(self, ids: list[int]) -> list[int]:
         ranks, n = self.ranks, len(ids)
@@ -216,7 +249,7 @@ class Bpe:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The packed ids of each text. Words that are not remembered are encoded together.
+        """The packed ids of each text.
 
         None of the many short-lived lists is in a cycle, so the collector of cycles rests meanwhile.
         """
@@ -229,38 +262,65 @@ class Bpe:
                 gc.enable()
 
     def _encode_all(self, texts: list[str | None]) -> list[bytes]:
-        parts = [self.parts(text) for text in texts]
-        self.learn(set().union(*(pieces for own in parts for kind, pieces in own if kind == "pieces")))
+        cut = [self.parts(text) for text in texts]
+        encoded = self.encode_parts([part for own in cut for part in own[::2]])
         return [
-            b"".join(
-                b"".join(map(self.pieces.__getitem__, found)) if kind == "pieces" else found for kind, found in own
-            ) for own in parts
+            b"".join(struct.pack("<I", self.special[part]) if k % 2 else next(encoded) for k, part in enumerate(own)) for own in cut
         ]
 
-    def parts(self, text: str | None) -> list[tuple[str, list[str] | bytes]]:
-        """A text as pieces between blanks, and ids of special tokens and of texts with unusual characters."""
-        if not text:
-            return []
-        cut = self.find_special.split(text) if self.special and self.find_special.search(text) else [text]
-        out = []
-        for k, part in enumerate(cut):
-            if k % 2:
-                out.append(("ids", struct.pack("<I", self.special[part])))
-            elif self.unusual.search(part):
-                out.append(("ids", b"".join(self.encode_words(self.unusual_words(part)))))
-            else:
-                out.append(("pieces", part.lower().split()))
-        return out
+    def parts(self, text: str | None) -> list[str]:
+        """A text cut at special tokens, which stand at odd places."""
+        return self.find_special.split(text) if text and self.special else [text or ""]
+
+    def encode_parts(self, parts: list[str]) -> Iterator[bytes]:
+        """The packed ids of texts without special tokens."""
+        run, held = [], 0
+        for part in parts:
+            run.append(part)
+            held += len(part)
+            if held >= RUN_CHARACTERS:
+                yield from self.encode_run(run)
+                run, held = [], 0
+        yield from self.encode_run(run)
+
+    def encode_run(self, parts: list[str]) -> list[bytes]:
+        unusual = pc.match_substring_regex(pa.array(parts, pa.large_string()), UNUSUAL).to_pylist()
+        usual = iter(self.encode_usual([part for part, odd in zip(parts, unusual) if not odd]))
+        self.learn({piece for part, odd in zip(parts, unusual) if odd for piece in BLANKS.split(part)})
+        return [b"".join(map(self.pieces.__getitem__, BLANKS.split(part))) if odd else next(usual) for part, odd in zip(parts, unusual)]
+
+    def encode_usual(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of texts without unusual characters: those of each different word, copied to all its places."""
+        text = np.frombuffer((END.join(texts) + 2 * END).lower().encode("utf-16-le"), "<u2")
+        kind = self.kinds[text]
+        starts = word_starts(text, kind)
+        written = kind != BLANK
+        if not len(starts):
+            return [b""] * len(texts)
+        size = np.where(text < 0x80, 1, 2) * written  # in UTF-8
+        offsets = np.concatenate([(np.cumsum(size) - size)[starts], [size.sum()]])
+        together = text[written].tobytes().decode("utf-16-le").encode("utf-8")
+        words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(together)]).dictionary_encode()
+        _, bounds, letters = words.dictionary.buffers()
+        known = np.frombuffer(bounds, np.int64, len(words.dictionary) + 1)
+        ids, counts = self.encode_bytes(np.frombuffer(letters, np.uint8, known[-1]), known[1:])
+        code = words.indices.to_numpy()
+        repeated = counts[code]
+        ends = np.cumsum(repeated)
+        packed = ids.astype("<u4")[np.repeat((np.cumsum(counts) - counts)[code] - (ends - repeated), repeated) + np.arange(ends[-1])].tobytes()
+        before = np.searchsorted(starts, np.flatnonzero(text == ord(END))[: len(texts)])
+        stops = (4 * np.concatenate([[0], ends])[before]).tolist()
+        return [packed[a:b] for a, b in zip([0, *stops], stops)]
 
     def learn(self, needed: set[str]) -> None:
-        """Make sure that all these pieces are remembered."""
+        """Make sure that all these pieces of texts with unusual characters are remembered."""
         if len(self.pieces) > REMEMBERED_PIECES:
             self.pieces.clear()
         if len(self.words) > REMEMBERED_WORDS:
             self.words.clear()
-        new = [(piece, self.find_words.findall(piece)) for piece in needed if piece not in self.pieces]
+        new = [(piece, self.unusual_words(piece)) for piece in needed if piece not in self.pieces]
         words = list({w for _, found in new for w in found if w not in self.words})
-        self.words.update(zip(words, self.encode_words([w.encode("utf-8") for w in words])))
+        self.words.update(zip(words, self.encode_words(words)))
         for piece, found in new:
             self.pieces[piece] = b"".join(map(self.words.__getitem__, found))
 
@@ -316,7 +376,7 @@ def encode(docs: DataFrame, bpe: Shared, text: str = "text", ids: str = "token_i
     def make(part: pa.RecordBatch) -> list[list]:
         return [bpe().encode_all(part.column(text).to_pylist())]
 
-    return with_python_columns(docs, [(ids, T.BinaryType(), pa.binary())], make)
+    return with_python_columns(docs, [(ids, T.BinaryType(), pa.binary())], make, RUN_BYTES)
 
 
 def decode(docs: DataFrame, bpe: Shared, ids: str = "token_ids", text: str = "decoded") -> DataFrame:

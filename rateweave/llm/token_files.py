@@ -44,6 +44,8 @@ DIRECTORY_MAGIC, SEEK_MAGIC, CLOSING_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 1 << 18
 #: Content bytes from which a task starts another file.
 FILE_BYTES = 256 << 20
+#: Bytes of documents that are encoded together.
+SLICE_BYTES = 4 << 20
 #: Files are read by a task each, up to this many tasks.
 MOST_TASKS = 50_000
 LEVEL = 3
@@ -163,7 +165,7 @@ def write(docs: DataFrame, encode: Callable[[list[str | None]], list[bytes]], en
             writer.close()
             done.append((part, file_no, path, len(writer.entries), writer.tokens))
 
-        for piece in slices(batches):
+        for piece in slices(batches, size=SLICE_BYTES):
             for i, ids in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist())):
                 if writer is None:
                     name = f"{part:06d}-{file_no:04d}-{uuid.uuid4().hex}.tokens"

@@ -153,3 +153,21 @@ def test_the_cycle_collector_rests_while_texts_are_encoded(own, monkeypatch):
     with pytest.raises(TypeError):
         own.encode_all([3])
     assert gc.isenabled()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("'stmdrevlİ日́ \n\x1c.1é", max_size=40), max_size=8))
+def test_word_ends_of_many_texts_like_the_library(own, library, texts):
+    assert [ids(p) for p in own.encode_all(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_each_different_word_of_a_run_is_encoded_once(own, library, monkeypatch):
+    encoded, encode = [], own.encode_bytes
+    monkeypatch.setattr(own, "encode_bytes", lambda text, ends: encoded.append(len(ends)) or encode(text, ends))
+    texts = ["Alpha beta, alpha it's 1", None, "beta ALPHA!"] * 50
+    wanted = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids(p) for p in own.encode_all(texts)] == wanted
+    assert encoded == [7]  # alpha beta , it 's 1 !
+    monkeypatch.setattr(bpe, "RUN_CHARACTERS", 30)
+    assert [ids(p) for p in own.encode_all(texts)] == wanted
+    assert len(encoded) > 50
