@@ -56,7 +56,7 @@ def main() -> None:
 
     i = Inputs(spark, sf_dir).store()  # the events stand for the input files
     start = time.perf_counter()
-    fitted = registered.fit_quick(i)
+    fitted = pipeline.train_models(registered.sources(i), i.val(), (registered.QUICK_A, registered.QUICK_B))
     fit_seconds = round(time.perf_counter() - start, 3)
     timed("hybrid_score", lambda: pipeline.predict(
         i.requests(), [i.train(), i.val()], ORDER, registered.sources(i), fitted
