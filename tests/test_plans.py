@@ -74,3 +74,18 @@ def test_stored_tables_live_in_the_named_folder(spark):
     df = materialize(spark.range(5), "five")
     assert df.inputFiles()[0].startswith("file://" + named)
     assert cut_lineage(df).count() == 5
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["gbt_predict", "hybrid_predict"])
+def test_predictions_fit_the_full_models(spark, monkeypatch, name):
+    class Fitted(Exception):
+        pass
+
+    def fit(frame, features, fills, b, *args, **more):
+        raise Fitted(b)
+
+    monkeypatch.setattr(queries.boosting, "fit", fit)
+    with pytest.raises(Fitted) as asked:
+        queries.queries()[name](spark, DATA)
+    assert asked.value.args[0] in (queries.models.MODEL_A, queries.models.MODEL_B) and asked.value.args[0].trees == 1000
