@@ -317,3 +317,18 @@ def test_ranks_and_copies_come_from_one_sort(spark):
     assert {r.neighbor_id: (r.copies, r.rank) for r in best.collect()} == {1: (15, 1), 2: (4, 2), 3: (1, 3)}
     plan = best._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1 and plan.count("WindowGroupLimit") == 1
+
+
+def test_pairs_that_are_met_in_rounds_have_the_same_sums(spark, monkeypatch):
+    rng = random.Random(11)
+    rated = {(u, i): float(rng.randint(1, 5)) for u in range(40) for i in range(25) if rng.random() < 0.4}
+    table = spark.createDataFrame([(u, i, s, 1, s) for (u, i), s in rated.items()], "user_id long, item_id long, stars double, copies long, stars_sum double")
+    pairs = spark.createDataFrame([(i, j) for i in range(25) for j in range(i, 25)], "lo long, hi long")
+    whole = sorted(map(tuple, cf.pair_sums(table, pairs).collect()))
+    written = []
+    monkeypatch.setattr(cf, "PAIRS_PER_ROUND", 100)
+    monkeypatch.setattr(cf, "materialize", lambda df, name, write=cf.materialize: written.append(name) or write(df, name))
+    assert sorted(map(tuple, cf.pair_sums(table, pairs).collect())) == whole
+    assert written.count("pair-sums") == cf.MOST_ROUNDS > 1
+    for lo, hi, n, *_ in whole:
+        assert n == sum((u, lo) in rated and (u, hi) in rated for u in range(40))
